@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import line_dedup, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +20,26 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_key_chars=1)
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+_OP7_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM d),
+f AS (SELECT key FROM (SELECT DISTINCT doc_id, unnest(ks) AS key FROM k) WHERE key <> '' GROUP BY key HAVING count(*) >= 10),
+a AS (SELECT coalesce(list(key), []) AS shared FROM f),
+o AS (SELECT doc_id, ls, list_transform(list_filter(list_zip(ls, ks), lambda z: NOT list_contains(shared, z[2])), lambda z: z[1]) AS kept FROM k, a)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dropped,
+  sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM o
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": _OP7_SQL}

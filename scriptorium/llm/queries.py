@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash
+from scriptorium.plans.scratch import scratch_path
+
+from . import binary_output, line_dedup, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +39,14 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_dr
 """
 
 
+def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token_shards")
+    binary_output.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return binary_output.read_index(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 

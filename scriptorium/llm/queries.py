@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.plans.scratch import scratch_path
 
-from . import binary_output, langid, line_dedup, minhash, quality, secrets, url_filter
+from . import binary_output, embedding_dedup, langid, line_dedup, minhash, mixing, packing, quality, secrets, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled_pages(pages, _table(spark, sf_dir, "labels")))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), max_repeats=2.0)
+    return found.select("row.doc_id", "row.source", "n_tokens", "epoch", "block", "place")
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -61,6 +70,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("joined").alias("spans"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

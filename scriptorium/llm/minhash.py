@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scriptorium.plans.components import connected_components
 from scriptorium.plans.scratch import drop_stored, stored
 
-from .kernel import FOLD, mix, pieces, shingle_sets, utf8
+from .kernel import FOLD, mix, pieces, shingle_sets, span_hashes, utf8
 
 BINS, BANDS, ROWS = 256, 42, 6
 _rng = np.random.default_rng(11)
@@ -60,7 +60,6 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 _SKETCHED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
 
 def _sketcher(k: int):
@@ -84,39 +83,82 @@ def _sketcher(k: int):
     return run
 
 
-def _set_maker(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Up to so many candidate ids their Bloom filter (16 bits each) goes to every task; more are found by a join.
+BLOOM_IDS = 4_000_000
+_BLOOM_HASHES = 4
+
+
+def _bloom(ids: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word and bit of each of an id's places in a filter of ``words`` 64-bit words."""
+    for j in range(_BLOOM_HASHES):
+        h = mix(ids.astype(np.int64).view(np.uint64), 31 + j)
+        yield ((h >> np.uint64(6)) % np.uint64(words)).astype(np.int64), h & np.uint64(63)
+
+
+def _of_ids(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``text`` whose id is wanted, and perhaps a few more (Bloom filter); the text is not shuffled."""
+    n = wanted.count()
+    if n > BLOOM_IDS:
+        return text.join(wanted, "id", "left_semi")
+    words = max(1024, n // 4)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1):
-                data, off = utf8(part.column(1))
-                sets = shingle_sets(FOLD[data], off, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS)
+            found = [(w, (np.uint64(1) << b).view(np.int64)) for w, b in _bloom(batch.column(0).to_numpy(), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["word", "bits"])
 
-    return run
+    rows = wanted.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(words, np.uint64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    sent = text.sparkSession.sparkContext.broadcast(bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.asarray(batch.column(0).is_valid())
+            ids = batch.column(0).fill_null(0).to_numpy()
+            for w, b in _bloom(ids, words):
+                keep &= (sent.value[w] >> b & np.uint64(1)).astype(bool)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return text.mapInArrow(run, "id long, text string")
+
+
+def _confirmer(k: int, percent: int):
+    def sets_of(ids: pa.Array, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The sets of the distinct (id, text) in a block and each row's index among them."""
+        data, off = utf8(texts)
+        keys = mix(ids.to_numpy().view(np.uint64), 41) ^ span_hashes(data, off[:-1], off[1:])
+        _, first, index = np.unique(keys, return_index=True, return_inverse=True)
+        one = texts.take(pa.array(first))
+        data, off = utf8(one)
+        return shingle_sets(FOLD[data], off, k), index
 
-def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(both) - shared)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            for part in pieces(batch, 3):
+                sets_x, at_x = sets_of(part.column(0), part.column(2))
+                sets_y, at_y = sets_of(part.column(1), part.column(3))
+                keep = np.zeros(part.num_rows, bool)
+                for i, (a, b) in enumerate(zip(at_x, at_y, strict=True)):
+                    x, y = sets_x[a], sets_y[b]
+                    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep[i] = 100 * shared >= percent * (len(both) - shared)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("id").alias("x"), F.col("shingles").alias("set_x"))
-    y = sets.select(F.col("id").alias("y"), F.col("shingles").alias("set_y"))
-    both = pairs.select("x", "y").join(y, "y").join(x, "x").select("x", "y", "set_x", "set_y")
-    return both.mapInArrow(_confirmer(percent), "x long, y long").distinct()
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that are links, by the full sets of their texts."""
+    x = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
+    y = texts.select(F.col("id").alias("y"), F.col("text").alias("text_y"))
+    both = pairs.select("x", "y").join(y, "y").join(x, "x").select("x", "y", "text_x", "text_y")
+    return both.mapInArrow(_confirmer(k, percent), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -144,15 +186,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     edges = stored(edges, "candidates")
     wanted = edges.select(F.col("rep").alias("id")).union(edges.select(F.col("centre").alias("id"))).distinct()
-    sets = text.join(wanted, "id", "left_semi")
+    texts = _of_ids(text, stored(wanted, "wanted"))
     repeated = named.groupBy("id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     if not repeated.isEmpty():
-        sets = sets.dropDuplicates(["id", "text"])
-    sets = stored(sets.mapInArrow(_set_maker(shingle_words), "id long, shingles binary"), "sets")
+        texts = texts.dropDuplicates(["id", "text"])
+    texts = stored(texts, "texts")
 
     best = edges.groupBy("rep").agg(F.max(F.struct("shared", F.col("centre").alias("y"))).alias("b")).select(F.col("rep").alias("x"), "b.y")
-    links = stored(_confirmed(best, sets, percent), "links")
+    links = stored(_confirmed(best, texts, shingle_words, percent), "links")
     # rows of one doc_id with different sets are one node: their classes' representatives are linked
     reps = classes.select(*key, "rep")
     if not repeated.isEmpty():
@@ -172,11 +214,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
-    more = stored(_confirmed(rest, sets, percent), "links")
+    more = stored(_confirmed(rest, texts, shingle_words, percent), "links")
     component = first
     if not more.isEmpty():
         component = stored(connected_components(links.unionByName(more), "x", "y"), "components")
-    drop_stored(sets)
+    drop_stored(texts)
 
     of_class = reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     found = sketched.select("id", *key).join(of_class, key, "left")

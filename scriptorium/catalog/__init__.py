@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables, grouped by theme."""
 
-from . import analytics, text  # noqa: F401
+from . import analytics, graph, retrieval, text  # noqa: F401

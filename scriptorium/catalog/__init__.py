@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables, grouped by theme."""
 
-from . import analytics, graph, retrieval, structure, text  # noqa: F401
+from . import analytics, answers, graph, queue, retrieval, structure, text  # noqa: F401

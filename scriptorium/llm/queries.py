@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.plans.scratch import scratch_path
 
-from . import binary_output, embedding_dedup, langid, line_dedup, minhash, mixing, packing, quality, secrets, url_filter
+from . import binary_output, embedding_dedup, langid, line_dedup, minhash, mixing, oracles, packing, quality, secrets, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": _OP7_SQL}
+    return {"op2_quality_rules": oracles.OP2, "op3_url_filter": oracles.OP3, "op5_embedding_near_dedup": oracles.OP5, "op6_minhash_near_dedup": oracles.OP6, "op7_line_dedup": _OP7_SQL}

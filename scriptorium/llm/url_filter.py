@@ -114,7 +114,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, s
         rows = rows.join(at, level, "left")
     bound = F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(1.0))
     verdict = F.coalesce("fit.verdict", F.when(bound < least_good, "block").otherwise("allow"))
-    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(bound, 6).alias("good_bound"))
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(bound, 4).alias("good_bound"))
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

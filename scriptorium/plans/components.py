@@ -3,7 +3,7 @@
 Every round is a pair of aggregations with map-side combining and equi-joins,
 so a hub with any number of neighbours is only ever a (splittable) join key.
 Each round's edges are written to the shared folder; nothing is collected but
-one count per round.
+whether the edges have settled.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from .scratch import drop_stored, stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # stored, so that the join deals both sides anew and a hub's neighbours can be split over tasks
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,6 +28,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one parent at most, and no parent has one: all components are stars around their least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node reachable.
 
@@ -35,17 +42,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     typed = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     current = stored(typed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
-        large = _large_star(current).distinct()
-        small = stored(_small_star(large).distinct(), "edges")
-        # the edge set is stable once every node points straight at its root
-        mark = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        drop_stored(current)
-        current = small
-        if mark["n"] == 0 or (mark["n"], mark["s"]) == before:
+        if _settled(current):
             break
-        before = (mark["n"], mark["s"])
+        after = stored(_small_star(_large_star(current).distinct()).distinct(), "edges")
+        drop_stored(current)
+        current = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -3,10 +3,13 @@
 Whole texts become sets of word shingles.  Equal sets collapse to a class with
 one representative, so groups of copies cost one row each.  Every class gets
 one permutation's minima in 256 bins, empty bins filled by optimal
-densification, cut into 42 bands of 6.  In each bucket every class is linked to
-one centre only (drawn afresh per band), so a bucket of m classes makes m - 1
-candidate edges.  Edges are confirmed on the full sets: first each class's most
-frequent partner, then all edges that still join different components.
+densification, cut into 42 bands of 6.  In each bucket every class is first
+linked to one centre only (drawn afresh per band), so a bucket of m classes makes
+m - 1 candidate edges.  Edges are confirmed on the full sets: first each class's
+most frequent partner, then all edges that still join different components.
+Buckets that still hold several components elect further centres, a bounded
+number of pairs a round, until every two members of every bucket are in one
+component or have been compared.
 
 Defined results: null text, or text without words: an empty set, linked with
 nothing.  Rows with the same doc_id are one node with all their sets.  Rows
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.plans.components import connected_components
@@ -161,6 +164,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.mapInArrow(_confirmer(k, percent), "x long, y long").distinct()
 
 
+#: Pairs compared in one round over the buckets that hold several components: at least so many, or two for each class.
+ROUND_PAIRS = 200_000
+
+
+def _finish_buckets(members: DataFrame, compared: DataFrame, component: DataFrame, texts: DataFrame, most: int, k: int, percent: int) -> DataFrame:
+    """``component`` (node, component) once every two ``members`` (band, bucket, rep, n_shingles) of a bucket are in one component or compared.
+
+    A round's centres are compared with all other members left in their bucket
+    and then leave it; the other members stay, linked or not, since a link to a
+    centre says nothing about the pairs among them.
+    """
+    at = ["band", "bucket"]
+    left = members
+    while True:
+        placed = left.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", "n_shingles", F.coalesce("component", "rep").alias("own"))
+        mixed = placed.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select(*at)
+        still = stored(placed.join(mixed, at), "unfinished")
+        n = still.count()
+        if not n:
+            return component
+        rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.xxhash64("rep"), "rep"))
+        centres = stored(still.withColumn("rank", rank).where(F.col("rank") <= max(1, most // n)).drop("rank"), "centres")
+        named = centres.select(*at, F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("own").alias("centre_own"))
+        pairs = (
+            still.join(named, at)
+            .where("own <> centre_own")
+            .where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
+            .select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y"))
+            .distinct()
+        )
+        pairs = stored(pairs.join(compared, ["x", "y"], "left_anti"), "pairs")
+        more = stored(_confirmed(pairs, texts, k, percent), "links")
+        if not more.isEmpty():
+            component = stored(connected_components(component.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y"), "components")
+        compared = compared.unionByName(pairs)
+        left = stored(still.select(*at, "rep", "n_shingles").join(centres.select(*at, "rep"), [*at, "rep"], "left_anti"), "left")
+        drop_stored(still)
+        drop_stored(centres)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -177,9 +220,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     member = F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"))
     stars = buckets.groupBy("band", "bucket").agg(F.min(member).alias("c"), F.count("*").alias("m")).where("m > 1").select("band", "bucket", "c.centre", "c.n_centre")
+    members = stored(buckets.join(stars, ["band", "bucket"]), "members")
     edges = (
-        buckets.join(stars, ["band", "bucket"])
-        .where("rep <> centre")
+        members.where("rep <> centre")
         .where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
         .groupBy("rep", "centre")
         .agg(F.count("*").alias("shared"))
@@ -218,6 +261,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = first
     if not more.isEmpty():
         component = stored(connected_components(links.unionByName(more), "x", "y"), "components")
+    compared = edges.select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y"))
+    most = max(ROUND_PAIRS, 2 * classes.count())
+    component = _finish_buckets(members.select("band", "bucket", "rep", "n_shingles"), compared, component, texts, most, shingle_words, percent)
+    drop_stored(members)
     drop_stored(texts)
 
     of_class = reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

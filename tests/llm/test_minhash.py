@@ -1,5 +1,6 @@
 """Near-dedup against brute force over all pairs."""
 
+import random
 import re
 
 from scriptorium.llm import minhash
@@ -52,3 +53,26 @@ def test_nulls_repeats_and_short_texts(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def family(members, planted, seed=7):
+    """Texts of 800 words that differ in about 133 of them (similarity about 0.71), and the last ``planted`` in 80 from one of the first (0.82)."""
+    rng = random.Random(seed)
+    rows = [[rng.randrange(3) for _ in range(200)] for _ in range(members)]
+    for i in range(planted):
+        near = list(rows[i])
+        for j in rng.sample(range(200), 80):
+            near[j] = (near[j] + 1) % 3
+        rows.append(near)
+    common = " ".join(f"c{i}" for i in range(600))
+    return [(i, common + " " + " ".join(f"s{j}x{v}" for j, v in enumerate(r))) for i, r in enumerate(rows)]
+
+
+def test_pairs_within_a_family_just_below_the_threshold(spark, monkeypatch):
+    rows = family(200, 40)
+    want = brute(rows, 1, 80)
+    assert sum(i != c for i, c in want.items()) >= 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()} == want
+    monkeypatch.setattr(minhash, "ROUND_PAIRS", 50_000)  # several rounds
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()} == want

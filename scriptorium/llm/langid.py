@@ -28,6 +28,10 @@ from .kernel import FOLD, pieces, utf8
 DIMENSIONS = 4096
 GRAMS = (1, 2, 3)
 CLUSTERS = 3
+#: Least share of a language's rows in a cluster.
+LEAST_CLUSTER = 0.05
+#: A text is rejected below RADIUS times the similarity that all but 1 % of its cluster's rows have.
+RADIUS = 0.75
 #: About so many labelled rows of each language are learnt from, those with the least hash of the id.
 ROWS_PER_LANGUAGE = 400
 UNKNOWN = "und"
@@ -94,23 +98,28 @@ class Model:
         letters = has_letter(data, off)
         # a short text has few grams and is far from every centroid: it must only be as near as its length allows
         length = np.diff(off)
-        rejected = ~letters | (score < self.least[best] * np.sqrt(length / (length + 500.0)))
+        rejected = ~letters | (score < self.least[best] * np.sqrt(length / (length + 150.0)))
         return [self.languages[self.language[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0), rejected
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean and then from the farthest rows."""
-    centres = [x.mean(0)]
+    """Spherical k-means++ (fixed seed); clusters of less than LEAST_CLUSTER of the rows are given up, so outliers get no centroid of their own."""
+    rng = np.random.default_rng(17)
+    c = x[rng.integers(len(x))][None]
     for _ in range(1, min(k, len(x))):
-        c = np.array(centres)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        centres.append(x[(x @ c.T).max(1).argmin()])
-    c = np.array(centres)
-    for _ in range(rounds):
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        own = (x @ c.T).argmax(1)
-        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        far = np.maximum(1 - (x @ c.T).max(1), 0).astype(np.float64) ** 2
+        if not far.sum():
+            break
+        c = np.vstack([c, x[rng.choice(len(x), p=far / far.sum())]])
+    while True:
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(1)
+            c = np.array([x[own == j].mean(0) for j in range(len(c)) if (own == j).any()])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+        if len(c) == 1 or size.min() >= LEAST_CLUSTER * len(x):
+            return c
+        c = np.delete(c, size.argmin(), 0)
 
 
 def train(tf: np.ndarray, labels: list[str]) -> Model:
@@ -129,11 +138,10 @@ def train(tf: np.ndarray, labels: list[str]) -> Model:
         s = rows @ found.T
         for j in range(len(found)):
             near = s[s.argmax(1) == j, j]
-            low, middle = np.quantile(near, [0.01, 0.5]) if len(near) else (0.0, 0.0)
-            least.append(min(0.5 * low, low - 2 * (middle - low)))
+            least.append(RADIUS * float(np.quantile(near, 0.01)) if len(near) else 0.0)
         centroids.append(found)
         language += [i] * len(found)
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(language), np.maximum(np.array(least), 0.02))
+    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(language), np.array(least))
 
 
 _SPARSE = "lang string, feature array<int>, weight array<float>"

@@ -1,5 +1,7 @@
 """Language identification: accuracy on rows it never saw, and defined results."""
 
+import base64
+import random
 import zlib
 
 from scriptorium.llm import langid
@@ -31,3 +33,17 @@ def test_defined_results(spark):
     none = langid.fit(df.limit(0))
     assert none.languages == [] and {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
     assert langid.predict(df.limit(0), none).collect() == []
+
+
+def test_foreign_texts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(1)
+    odd = [base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)]
+    odd += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=900)) for _ in range(20)] + [rng.randbytes(400).hex() for _ in range(20)]
+    odd.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 6)
+    odd += ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 8, "人人生而自由,在尊严和权利上一律平等。" * 20]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(rows, model).collect())
+    held = langid.predict(docs.where(langid.held_out(docs.doc_id)), model).collect()
+    assert sum(r.rejected for r in held) <= 0.01 * len(held)

@@ -132,7 +132,8 @@ def pack(
     pieces = sized.where("words > 0").select("id", "cluster", "source", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("words") / capacity) - 1)).alias("piece"))
     pieces = pieces.select("id", "cluster", "source", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece") * capacity).alias("n_tokens"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(n).sortWithinPartitions("cluster", "id", "piece", "source")
+    # by a hash, so that every group gets its share of a hot text's copies and of the texts that can stand beside them
+    dealt = pieces.repartition(n).sortWithinPartitions(F.xxhash64("id", "piece"), "id", "piece", "cluster", "source")
     packed = dealt.mapInArrow(_packer(capacity, max_per_source), "id long, piece long, first_token long, n_tokens long, bin long, bin_offset long")
     none = F.lit(None).cast("long")
     empty = sized.where("words = 0").select("id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("n_tokens"), none.alias("bin"), none.alias("bin_offset"))

@@ -75,3 +75,11 @@ def test_nulls_copies_and_empty(spark):
     assert packing.pack(df.limit(0)).collect() == []
     repeated = spark.createDataFrame([(None, "same text", "a")] * 50, "doc_id long, text string, source string")
     assert len({r.bin_id for r in packing.pack(repeated).collect()}) == 50
+
+
+def test_copies_of_a_hot_text_are_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 60)
+    rows = [(i, "w " * 10 if i % 3 == 0 else f"t{i} " * 90, None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n, _ = check(rows, packing.pack(df, capacity=100).collect(), 100, 2)
+    assert n <= 880  # 800 at best: every copy beside another text

@@ -1,10 +1,14 @@
 """Re-Pair: frequent pairs of ids become nonterminals, again and again, within one shard.
 
-A round takes every pair that occurs at least ``threshold`` times, replaces its
-non-overlapping occurrences left to right, and halves the threshold.  Pairs
-never cross the end of a document, so each document is a run of symbols.  Rules
-are stored with their expansion lengths, by which any range of ids is decoded
-without the rest.
+A round takes every pair with at least ``threshold`` occurrences; where
+occurrences overlap, the more frequent pair has them.  The threshold falls to
+LEAST, and rounds go on until no pair has LEAST uses left: a rule is stored as
+two symbols and a length, so from LEAST uses on it is shorter than what it
+replaces.  After the first rounds only positions whose pair changed, or still
+is frequent, are looked at again.  Pairs never cross the end of a document, so
+each document is a run of symbols.  Rules are stored with their expansion
+lengths, and every MARK symbols the ids before them, so any range of ids is
+decoded from the symbols and rules that it needs.
 """
 
 from __future__ import annotations
@@ -15,108 +19,216 @@ import numpy as np
 
 from .tokens import ragged
 
-#: A pair must occur so often in its shard to be replaced, in the last round.
-LEAST = 48
-ROUNDS = 6
-_SLOTS_BITS = 17
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Uses from which a rule pays for its own storage.
+LEAST = 4
+#: Between rounds the threshold falls by so much at most.
+FALL = 64
+#: Symbols between two marks.
+MARK = 512
 
 
 @dataclass
 class Grammar:
-    """Symbols below ``base`` are ids; symbol base + r expands to the two symbols rules[r], lengths[r] ids in all."""
+    """Symbols below ``base`` are ids; symbol base + r expands to the two symbols rules[r], lengths[r] ids in all.
+
+    ``doc_symbols`` are the n+1 symbol offsets of the documents, ``marks`` the ids before symbols 0, MARK, 2 MARK, ...
+    """
 
     base: int
     rules: np.ndarray
     lengths: np.ndarray
     symbols: np.ndarray
     doc_symbols: np.ndarray
+    marks: np.ndarray
+
+    def width(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.base
+        out[rule] = self.lengths[symbols[rule] - self.base]
+        return out
+
+
+class _Text:
+    """The symbols of a shard as a doubly linked list; position n stands for 'none'."""
+
+    def __init__(self, symbols: np.ndarray, last: np.ndarray):
+        n = len(symbols)
+        self.symbols = symbols
+        self.next = np.append(np.arange(1, n + 1), n)
+        self.next[:n][last] = n
+        self.prev = np.append(np.arange(-1, n - 1), n)
+        self.prev[np.flatnonzero(last) + 1] = n
+        self.prev[0] = n
+        self.prev[n] = n
+        self.rank = np.zeros(n + 1, np.int32)
+        self.alive = np.ones(n, bool)
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions ``at`` by the pair that begins there (and place), and how many each pair has."""
+        a, b = self.symbols[at].astype(np.uint64), self.symbols[self.next[at]].astype(np.uint64)
+        width = int(max(a.max(), b.max())).bit_length()
+        if 2 * width + len(self.symbols).bit_length() <= 64:  # the position fits beside the pair: one plain sort
+            bits = np.uint64(64 - 2 * width)
+            a <<= np.uint64(width)
+            a |= b
+            a <<= bits
+            a |= at.view(np.uint64)
+            a.sort()
+            at = (a & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+            a >>= bits
+            other = a[1:] != a[:-1]
+        else:
+            order = np.lexsort((at, b, a))
+            at, a, b = at[order], a[order], b[order]
+            other = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.concatenate([[0], np.flatnonzero(other) + 1])
+        return at, np.diff(first, append=len(at))
+
+    def choose(self, at: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which positions are replaced: none overlaps another, the more frequent pair has precedence, and a run of one pair gives every second."""
+        rank = np.empty(len(counts), np.int32)
+        rank[np.argsort(counts, kind="stable")] = np.arange(1, len(counts) + 1, dtype=np.int32)
+        mine = rank[pair]
+        self.rank[at] = mine
+        begins = np.ones(len(at), bool)
+        begins[1:] = (self.next[at[:-1]] != at[1:]) | (pair[1:] != pair[:-1])
+        begins = np.flatnonzero(begins)
+        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) & 1
+        out = (odd == 0) & (mine >= self.rank[self.prev[at]]) & (mine >= self.rank[self.next[at]])
+        self.rank[at] = 0
+        return out
+
+    def replace(self, at: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Put ``names`` for the pairs at ``at``; the positions where pairs that changed begin."""
+        gone = self.next[at]
+        after = self.next[gone]
+        self.symbols[at] = names
+        self.next[at] = after
+        self.prev[after] = at
+        n = len(self.symbols)
+        self.prev[n] = n
+        self.alive[gone] = False
+        return np.concatenate([at[after < n], self.prev[at]])
 
 
 def compress(ids: np.ndarray, off: np.ndarray, base: int) -> Grammar:
     """Grammar of the documents ids[off[i]:off[i+1]]; all ids are below ``base``."""
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
-    filled = off[1:][off[1:] > off[:-1]]
-    last[filled - 1] = True
-    rules, n_rules = [], 0
-    threshold = LEAST << (ROUNDS - 1)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slot = ((key * _MULTIPLIER) >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64)
-        slot[last[:-1]] = 1 << _SLOTS_BITS
-        busy = np.bincount(slot, minlength=(1 << _SLOTS_BITS) + 1) >= threshold
-        busy[-1] = False
-        where = np.flatnonzero(busy[slot])
-        threshold //= 2
-        pairs, index, counts = np.unique(key[where], return_inverse=True, return_counts=True)
-        often = counts >= 2 * threshold if threshold else counts > 1
-        where, index = where[often[index]], index[often[index]]
-        if not len(where):
+    last = np.zeros(len(ids), bool)
+    last[off[1:][off[1:] > off[:-1]] - 1] = True
+    text = _Text(ids.astype(np.uint32), last)
+    rules, n_rules, threshold = [], 0, None
+    todo = np.flatnonzero(~last)
+    while len(todo):
+        at, counts = text.pairs(todo)
+        if threshold is None:
+            threshold = max(LEAST, int(counts.max()) // FALL)
+        elif threshold > LEAST or len(todo) < 1000:
+            threshold = max(LEAST, threshold // FALL)
+        chosen = counts >= threshold
+        tried = at[np.repeat(chosen, counts)]
+        counts_tried = counts[chosen]
+        pair = np.repeat(np.arange(len(counts_tried)), counts_tried)
+        taken = text.choose(tried, pair, counts_tried) if len(tried) else np.zeros(0, bool)
+        where, index = tried[taken], pair[taken]
+        used = np.bincount(index, minlength=len(counts_tried)) >= LEAST
+        if not used.any():
+            if threshold == LEAST:
+                break
             continue
-        # left to right: of positions that follow each other every second one
-        run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
-        odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
-        where, index = where[odd == 0], index[odd == 0]
-        used = np.bincount(index, minlength=len(pairs)) > 1
-        where, index = where[used[index]], index[used[index]]
+        whole = used[index]
+        where, index = where[whole], index[whole]
         name = np.cumsum(used) - 1 + base + n_rules
-        pairs = pairs[used]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        n_rules += len(pairs)
-        symbols[where] = name[index]
-        last[where] = last[where + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[where + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        one = tried[(np.cumsum(counts_tried) - counts_tried)[used]]
+        rules.append(np.stack([text.symbols[one], text.symbols[text.next[one]]], 1))
+        n_rules += int(used.sum())
+        changed = text.replace(where, name[index].astype(np.uint32))
+        again = np.zeros(len(text.symbols) + 1, bool)
+        again[at[np.repeat(counts >= LEAST, counts)]] = True
+        again[changed] = True
+        again[:-1] &= text.alive & (text.next[:-1] < len(text.symbols))
+        again[-1] = False
+        if 20 * len(where) > len(text.symbols):  # many are gone: close the ranks
+            again = again[:-1][text.alive]
+            text = _Text(text.symbols[text.alive], text.next[:-1][text.alive] == len(text.symbols))
+        todo = np.flatnonzero(again)
+    symbols = text.symbols[text.alive]
+    ends = np.flatnonzero(text.next[:-1][text.alive] == len(text.symbols)) + 1
+    doc_symbols = np.zeros(len(off), np.int64)
+    doc_symbols[1:][off[1:] > off[:-1]] = ends
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths = _lengths(table, base)
-    ends = np.flatnonzero(last) + 1
-    at = np.zeros(len(off), np.int64)
-    at[1:][off[1:] > off[:-1]] = ends
-    return Grammar(base, table, lengths, symbols, np.maximum.accumulate(at))
+    g = Grammar(base, table, _lengths(table, base), symbols, np.maximum.accumulate(doc_symbols), np.zeros(0, np.uint32))
+    g.marks = np.concatenate([[0], np.cumsum(g.width(symbols))])[:-1:MARK].astype(np.uint32)
+    return g
+
+
+def _levels(rules: np.ndarray, base: int) -> list[np.ndarray]:
+    """The rules in groups, each of which refers to ids and earlier groups only."""
+    known = np.zeros(len(rules), bool)
+    left, out = np.arange(len(rules)), []
+    while len(left):
+        a, b = rules[left, 0].astype(np.int64) - base, rules[left, 1].astype(np.int64) - base
+        ready = ((a < 0) | known[np.maximum(a, 0)]) & ((b < 0) | known[np.maximum(b, 0)])
+        out.append(left[ready])
+        known[left[ready]] = True
+        left = left[~ready]
+    return out
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
     lengths = np.ones(len(rules), np.uint32)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[r] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+    for level in _levels(rules, base):
+        for side in (0, 1):
+            child = rules[level, side].astype(np.int64) - base
+            n = np.where(child < 0, 1, lengths[np.maximum(child, 0)])
+            lengths[level] = n if side == 0 else lengths[level] + n
     return lengths
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids that a run of symbols stands for."""
+    """The ids that a long run of symbols stands for, by way of every rule's expansion."""
     first = np.concatenate([[0], np.cumsum(g.lengths, dtype=np.int64)])
     store = np.empty(int(first[-1]), np.uint32)
-    for r, (a, b) in enumerate(g.rules.tolist()):
-        at = first[r]
-        for x in (a, b):
-            if x < g.base:
-                store[at] = x
-                at += 1
-            else:
-                n = int(g.lengths[x - g.base])
-                store[at : at + n] = store[first[x - g.base] : first[x - g.base] + n]
-                at += n
-    # one store: the plain ids of this run, then the expansions of the rules
+    for level in _levels(g.rules, g.base):
+        at = first[level]
+        for side in (0, 1):
+            child = g.rules[level, side]
+            plain = child < g.base
+            store[at[plain]] = child[plain]
+            r, to = child[~plain].astype(np.int64) - g.base, at[~plain]
+            n = g.lengths[r].astype(np.int64)
+            store[ragged(to, n)] = store[ragged(first[r], n)]
+            at = at + g.width(child)
+    # one store: the expansions of the rules, then the plain ids of this run
     rule = symbols >= g.base
-    length = np.ones(len(symbols), np.int64)
-    length[rule] = g.lengths[symbols[rule] - g.base]
     start = np.empty(len(symbols), np.int64)
     start[~rule] = len(store) + np.arange(int((~rule).sum()))
     start[rule] = first[symbols[rule] - g.base]
-    return np.concatenate([store, symbols[~rule].astype(np.uint32)])[ragged(start, length)]
+    return np.concatenate([store, symbols[~rule].astype(np.uint32)])[ragged(start, g.width(symbols))]
+
+
+def unfold(g: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """The ids that a short run of symbols stands for; only the rules that it needs are looked at."""
+    symbols = symbols.astype(np.uint32)
+    while True:
+        rule = symbols >= g.base
+        if not rule.any():
+            return symbols
+        at = np.cumsum(rule + 1) - (rule + 1)
+        out = np.empty(len(symbols) + int(rule.sum()), np.uint32)
+        out[at[~rule]] = symbols[~rule]
+        pair = g.rules[symbols[rule] - g.base]
+        out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
+        symbols = out
 
 
 def decode_range(g: Grammar, start: int, n: int) -> np.ndarray:
-    """ids[start : start + n] of the shard, expanding only the symbols that cover them."""
-    length = np.ones(len(g.symbols), np.int64)
-    rule = g.symbols >= g.base
-    length[rule] = g.lengths[g.symbols[rule] - g.base]
-    ends = np.cumsum(length)
-    a = int(np.searchsorted(ends, start, "right"))
-    b = int(np.searchsorted(ends, start + n, "left")) + 1
-    skipped = int(ends[a - 1]) if a else 0
-    return expand(g, g.symbols[a:b])[start - skipped : start - skipped + n]
+    """ids[start : start + n] of the shard: found by the marks, decoded from the symbols that cover them alone."""
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    a = (int(np.searchsorted(g.marks, start, "right")) - 1) * MARK
+    b = int(np.searchsorted(g.marks, start + n, "left")) * MARK
+    ends = int(g.marks[a // MARK]) + np.cumsum(g.width(g.symbols[a:b]))
+    i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + n, "left")) + 1
+    skipped = int(ends[i - 1]) if i else int(g.marks[a // MARK])
+    return unfold(g, g.symbols[a:b][i:j])[start - skipped : start - skipped + n]

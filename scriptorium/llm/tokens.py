@@ -3,7 +3,9 @@
 The byte-level pre-tokenizer never joins a character that is not white space to
 white space after it.  A text may therefore be cut before each run of ASCII
 white space that follows a character which is not (Unicode) white space, and
-the ids of the pieces, joined, are the ids of the text.  A worker encodes each
+the ids of the pieces, joined, are the ids of the text.  A special token of the
+file holds no white space, so it stays in one piece, and its string in a text is
+its id, as the library's plain call has it.  A worker encodes each
 distinct piece once with the library, keeps its ids under a 64-bit hash, and
 looks up whole blocks of pieces at a time.
 """
@@ -16,7 +18,7 @@ from tokenizers import Tokenizer
 from .kernel import IS_SPACE, span_hashes
 
 #: Entries a worker keeps before it starts afresh; a bound on memory only.
-CACHE_ENTRIES = 3_000_000
+CACHE_ENTRIES = 1_500_000
 _PROBES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +55,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         alphabet = self._bytes_per_char()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -69,7 +70,7 @@ class Encoder:
         return {chr(b) for b in plain} | {chr(256 + i) for i in range(256 - len(plain))}
 
     def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _reset(self) -> None:
         self.slots = 1 << 16

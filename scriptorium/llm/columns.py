@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
-#: A table of so many rows may be broadcast.
+#: A table of at most so many rows, and bytes, may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -17,5 +18,8 @@ def word_count(text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows and BROADCAST_BYTES bytes, else left to a shuffle join."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = F.sum(sum(wide, F.lit(16 * len(df.columns))))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), size.alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= BROADCAST_BYTES else df

@@ -33,8 +33,9 @@ def test_matches_all_pairs(spark, sf, monkeypatch):
     x = np.array([v for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = ((x @ x.T) >= 0.95).sum(1) - 1
-    for block in (512, 7):
+    for block, dense in ((1024, 8), (7, 8), (1024, 0), (7, 0)):
         monkeypatch.setattr(e, "BLOCK", block)
+        monkeypatch.setattr(e, "DENSE", dense)
         got = {r.vec_id: r for r in e.near_duplicates(df).collect()}
         assert [got[i].n_links for i, _ in rows] == want.tolist()
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == brute(rows)
@@ -52,8 +53,33 @@ def test_odd_vectors(spark):
     assert e.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_size_ties_repeats_and_clashing_names(spark):
+    """Components of any finite size; a cosine at the threshold links; copies and repeated ids count by their own vector."""
+    rows = [(1, [3e200, 4e200]), (2, [3e-200, 4e-200]), (3, [4.0, -3.0]), (3, [3.0, 4.0]), (3, [3.0, 4.0]), (4, [4.0, -3.0]), (5, [1.0] * 5000), (6, [1.0] * 4999 + [1.01])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rep long, signs int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in e.near_duplicates(df).collect())
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (3, 1, 3), (3, 2, 1), (3, 2, 1), (4, 1, 3), (5, 1, 5), (6, 1, 5)])
+    tie = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [r.n_links for r in e.near_duplicates(tie, cosine=0.7).collect()] == [1, 1]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Thousands of distinct near copies: no row per pair, all links counted."""
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal(32)
+    x = np.concatenate([one + rng.standard_normal((2500, 32)) * 0.1, rng.standard_normal((500, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in e.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= (1 - 1e-4) * want.sum()
+    assert {got[i].component_id for i in np.flatnonzero(want > 50)} == {0}
+
+
 def test_plan_keeps_recall_at_every_size():
     for n in (2, 10_000, 10**6, 10**9):
         bits, tables = e.plan(n, 0.95)
         same = (1 - math.acos(0.95) / math.pi) ** bits
         assert (1 - same) ** tables <= e.MISS
+        assert bits * tables // 10 < e.most_different(bits * tables, 0.95) < bits * tables // 2 or bits * tables < 60

@@ -10,7 +10,10 @@ text is rejected as too far from it.
 Defined results: null text, or text without a letter, is ``und`` with score 0
 and rejected.  Rows without a label or an id are never learnt from.  Without
 any labelled row every text is ``und``.  Ties go to the first language in
-alphabetical order.  Very long texts are read whole.
+alphabetical order.  Very long texts are read whole.  A text's score depends on
+nothing but the text and the model, so repeated rows score alike; repeated ids
+are learnt from alike.  An empty table gives an empty table.  All columns of the
+input are kept in ``row``, so none clashes with the result's.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ CLUSTERS = 3
 LEAST_CLUSTER = 0.05
 #: A text is rejected below RADIUS times the similarity that all but 1 % of its cluster's rows have.
 RADIUS = 0.75
+#: Rows whose vectors are held at once, and languages that are learnt at most (the most frequent ones).
+BLOCK_ROWS, MOST_LANGUAGES = 256, 500
 #: About so many labelled rows of each language are learnt from, those with the least hash of the id.
 ROWS_PER_LANGUAGE = 400
 UNKNOWN = "und"
@@ -46,7 +51,10 @@ def vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(rows, DIMENSIONS) log term frequencies."""
     folded = _PLAIN[data]
     keep = folded != 32
-    keep[1:] |= keep[:-1]
+    after = np.zeros(len(keep), bool)
+    after[1:] = keep[:-1]
+    after[off[:-1][off[:-1] < len(keep)]] = False  # a row's first space follows nothing, whatever the row before ends with
+    keep |= after
     off = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[off]
     folded = folded[keep].astype(np.uint32)
     rows, n = len(off) - 1, len(folded)
@@ -66,6 +74,13 @@ def vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.log1p(counts, out=counts).reshape(rows, DIMENSIONS)
 
 
+def blocks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch bounded in bytes of text and in rows."""
+    for piece in pieces(batch, text):
+        for at in range(0, piece.num_rows, BLOCK_ROWS):
+            yield piece.slice(at, BLOCK_ROWS)
+
+
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])
     out = total[off[1:]] > total[off[:-1]]
@@ -149,7 +164,7 @@ _SPARSE = "lang string, feature array<int>, weight array<float>"
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in pieces(batch, 1):
+        for piece in blocks(batch, 1):
             tf = vectors(*utf8(piece.column(1)))
             at = [np.flatnonzero(x).astype(np.int32) for x in tf]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(tf, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "feature", "weight"])
@@ -164,7 +179,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn from text and language of labelled rows that are not held out, about ``rows_per_language`` each."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(~held_out(F.col("id")))
     share = F.lit(None).cast("double")
-    counts = usable.groupBy("lang").count().collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     for x in sorted(counts, key=lambda r: r["lang"]):
         share = F.when(F.col("lang") == x["lang"], F.lit(min(1.0, rows_per_language / x["count"]))).otherwise(share)
     chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("id"), "id").limit(2 * rows_per_language * max(1, len(counts)))
@@ -181,7 +196,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in blocks(batch, 1):
                 lang, score, rejected = model.predict(*utf8(piece.column(1)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], names=["row", *names])
 

@@ -47,3 +47,29 @@ def test_foreign_texts_and_noise_are_rejected(spark):
     assert all(r.rejected for r in langid.predict(rows, model).collect())
     held = langid.predict(docs.where(langid.held_out(docs.doc_id)), model).collect()
     assert sum(r.rejected for r in held) <= 0.01 * len(held)
+
+
+def test_a_text_scores_alike_in_any_company(spark, sf):
+    """Nothing of a neighbour row, the batch or the partition enters a score."""
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptorium.llm.kernel import utf8
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    texts = [" the cat sat", "abc", " the cat sat", "", "é", " x", "\n"] + [r.text for r in docs.limit(40).collect()]
+    alone = np.concatenate([langid.vectors(*utf8(pa.array([t]))) for t in texts])
+    assert (langid.vectors(*utf8(pa.array(texts))) == alone).all()
+    assert (langid.vectors(*utf8(pa.array(texts[::-1]))) == alone[::-1]).all()
+    model = langid.fit(docs)
+    one, many = ({r.row.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.predict(d, model).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert {i: (x[0], round(x[1], 5), x[2]) for i, x in one.items()} == {i: (x[0], round(x[1], 5), x[2]) for i, x in many.items()}
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    rows = [(i, text, lang, 0.5, "x") for i, (text, lang) in enumerate([("aaa bbb ccc", "b"), ("aaa bbb ccc", "a"), ("zzz yyy", "a"), ("zzz yyy", "b")] * 20)] + [(7, "aaa bbb ccc", "a", 0.5, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, row string")
+    found = langid.predict(df, langid.fit(df))
+    assert found.columns == ["row", "lang_pred", "score", "rejected"] and found.count() == len(rows)
+    assert {r.lang_pred for r in found.where("row.text = 'aaa bbb ccc'").collect()} == {"a"}
+    assert len({round(r.score, 6) for r in found.where("row.text = 'zzz yyy'").collect()}) == 1

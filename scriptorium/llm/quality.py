@@ -1,13 +1,18 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is one array expression over a block of whole texts.  A bounded
-sample gives every rule's cost (seconds a row) and selectivity (share it
-rejects); rules then run in descending order of rejections per second, each on
-the rows that all earlier ones kept.  The order changes the cost only: a text
-is kept if and only if no rule rejects it.
-
-Defined results: null text has no words and fails the base rule; an empty table
-gives an empty table; repeated rows are judged alike; other columns pass by.
+Each rule is one array expression over a block of whole texts.  Features of a
+block (words, their hashes, counts a row) are computed once, by the first rule
+that needs them, and a block's survivors keep theirs.  A sample gives each
+rule's selectivity and the cost of its features; the order is built rule by rule:
+next comes the one that rejects most of the rows still alive for the seconds it
+adds to what is already computed.  Each rule sees only the rows that all earlier
+ones kept.  The order changes the cost only: a text is kept if and only if no
+rule rejects it.
+
+Defined results: null text has no words and fails the base rule; very long texts
+are read whole; an empty table gives an empty table; repeated rows are judged
+alike; rules of equal worth go by name.  Only ``id_col`` of the input is returned,
+so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .kernel import mix, pieces, span_hashes, utf8, words
 from .tokens import ragged
 
-#: Rows at most from which costs and selectivities are estimated.
+#: Rows (about) from which costs and selectivities are estimated.
 SAMPLE_ROWS = 1000
 
 _SYMBOL = np.zeros(256, bool)
@@ -43,8 +48,28 @@ class Block:
         self.data, self.off, self.rows = data, off, len(off) - 1
 
     def subset(self, rows: np.ndarray) -> Block:
+        """The block of some rows, with what is already known of them."""
         lengths = self.off[rows + 1] - self.off[rows]
-        return Block(self.data[ragged(self.off[rows], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        out = Block(self.data[ragged(self.off[rows], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        known = self.__dict__
+        place = np.full(self.rows, -1)
+        place[rows] = np.arange(len(rows))
+        for name in _PER_ROW:
+            if name in known:
+                out.__dict__[name] = known[name][rows]
+        if "words" in known:
+            s, e, row = known["words"]
+            mine = place[row] >= 0
+            to = place[row[mine]]
+            shift = out.off[to] - self.off[row[mine]]
+            out.__dict__["words"] = (s[mine] + shift, e[mine] + shift, to)
+            if "word_hashes" in known:
+                out.__dict__["word_hashes"] = known["word_hashes"][mine]
+        if "lines" in known:
+            row, again = known["lines"]
+            mine = place[row] >= 0
+            out.__dict__["lines"] = (place[row[mine]], again[mine])
+        return out
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """How many flagged bytes each row has."""
@@ -135,6 +160,10 @@ class Block:
         return out
 
 
+#: Features with one value a row.
+_PER_ROW = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "letter_words", "top_word")
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` gives one boolean per row of a block."""
@@ -158,25 +187,44 @@ RULES = (
 )
 
 
-def measure(block: Block, rules: Sequence[Rule]) -> list[tuple[str, float, int]]:
-    """(rule, seconds, rejected) over one block; every rule pays for the features that it needs."""
-    out = []
-    for rule in rules:
-        fresh = Block(block.data, block.off)
-        began = time.perf_counter()
-        rejected = int(rule.rejects(fresh).sum())
-        out.append((rule.name, time.perf_counter() - began, rejected))
+def order(block: Block, rules: Sequence[Rule], metrics: Sequence[str]) -> list[tuple[str, float, int]]:
+    """(rule, seconds it adds, rows it rejects) in the order in which rules pay best over a block.
+
+    ``metrics`` are computed anyway, so no rule is charged for them.  A rule's
+    seconds are those beyond the features already known when its turn comes.
+    """
+    known = Block(block.data, block.off)
+    for m in metrics:
+        getattr(known, m)
+    alive, left, out = np.ones(block.rows, bool), list(rules), []
+    while left:
+        tried = []
+        for rule in left:
+            fresh = Block(block.data, block.off)
+            fresh.__dict__.update(known.__dict__)
+            began = time.perf_counter()
+            bad = rule.rejects(fresh)
+            tried.append((int((bad & alive).sum()) / max(time.perf_counter() - began, 1e-6), rule, bad, time.perf_counter() - began, fresh))
+        _, rule, bad, seconds, known = min(tried, key=lambda t: (-t[0], t[1].name))
+        out.append((rule.name, seconds, int((bad & alive).sum())))
+        alive &= ~bad
+        left.remove(rule)
     return out
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
-    """The rules by rejections per second on at most SAMPLE_ROWS rows, those with the least hash of the id."""
-    sample = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")).orderBy("h").limit(SAMPLE_ROWS).select("text")
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, *, metrics: Sequence[str] = (), text_col: str = "text") -> list[Rule]:
+    """The rules by what each rejects for the seconds it adds, over about SAMPLE_ROWS rows drawn where they lie.
+
+    Every task orders the rules on its own part of the sample; worth is summed
+    over the tasks, so no text moves.
+    """
+    n = docs.count()
+    sample = docs.select(F.col(text_col).alias("text"), F.rand(17).alias("r")).where(F.col("r") < min(1.0, SAMPLE_ROWS / max(n, 1))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 0):
-                name, seconds, rejected = zip(*measure(Block(*utf8(piece.column(0))), rules), strict=True)
+                name, seconds, rejected = zip(*order(Block(*utf8(piece.column(0))), rules, metrics), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(seconds), pa.array(rejected, pa.int64())], names=["rule", "seconds", "rejected"])
 
     found = sample.mapInArrow(run, "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
@@ -202,19 +250,30 @@ def cascade(block: Block, rules: Sequence[Rule]) -> list[str | None]:
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, the METRICS, base_failed, kept, rejected_by) per row; ``rules`` None means RULES ordered on a sample."""
-    ordered = list(rules) if rules is not None else order_rules(docs, id_col=id_col, text_col=text_col)
+def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, *, metrics: Sequence[str] = METRICS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, the metrics, base_failed, kept, rejected_by) per row; ``rules`` None means RULES ordered on a sample.
+
+    Metrics asked for are computed of every row, and rules use them for nothing;
+    with ``metrics`` () a row costs no more than the rules up to its rejection
+    (and base_failed, which then is null where another rule came first).
+    """
+    ordered = list(rules) if rules is not None else order_rules(docs, metrics=metrics, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
                 block = Block(*utf8(piece.column(1)))
+                values = [pa.array(getattr(block, m).astype(np.int64)) for m in metrics]
                 why = cascade(block, ordered)
-                failed = base_failed(block)
-                kept = np.array([x is None for x in why], bool) & ~failed
-                yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(getattr(block, m).astype(np.int64)) for m in METRICS], pa.array(failed), pa.array(kept), pa.array(why, pa.string())], names=["id", *METRICS, "base_failed", "kept", "rejected_by"])
-
-    schema = "id long, " + ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean, kept boolean, rejected_by string"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+                kept = np.array([x is None for x in why], bool)
+                if {"n_words", "n_repeat_words"} <= set(metrics):
+                    failed = base_failed(block)
+                    kept &= ~failed
+                    base = pa.array(failed)
+                else:
+                    base = pa.array([True if x == "base" else False if x is None else None for x in why], pa.bool_())
+                yield pa.RecordBatch.from_arrays([piece.column(0), *values, base, pa.array(kept), pa.array(why, pa.string())], names=["id", *metrics, "base_failed", "kept", "rejected_by"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + "".join(f"{m} long, " for m in metrics) + "base_failed boolean, kept boolean, rejected_by string"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

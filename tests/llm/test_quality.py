@@ -4,7 +4,12 @@ import itertools
 import re
 from collections import Counter
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+
 from scriptorium.llm import quality
+from scriptorium.llm.kernel import utf8
 
 
 def brute(text):
@@ -46,3 +51,48 @@ def test_empty_table_and_sampled_order(spark):
     assert quality.judge(empty).collect() == []
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     assert {r.name for r in quality.order_rules(docs)} == {r.name for r in quality.RULES}
+
+
+def block(texts):
+    return quality.Block(*utf8(pa.array(texts, pa.string())))
+
+
+def test_survivors_keep_their_features(sf):
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()] + [None, "", "a\nb\na", "é é é é"]
+    whole = block(texts)
+    rows = np.arange(0, len(texts), 3)
+    for known in ([], ["top_word"], ["n_dup_lines", "n_repeat_words"], list(quality._PER_ROW)):
+        for name in known:
+            getattr(whole, name)
+        part, alone = whole.subset(rows), block([texts[i] for i in rows])
+        assert set(known) <= set(part.__dict__)
+        for name in quality._PER_ROW:
+            assert (getattr(part, name) == getattr(alone, name)).all()
+
+
+def test_later_rules_see_survivors_only_and_metrics_cost_nothing(spark, sf):
+    """The cascade does less than all rules on all rows."""
+    seen = {r.name: 0 for r in quality.RULES}
+
+    def counted(rule):
+        def rejects(b):
+            seen[rule.name] += b.rows
+            return rule.rejects(b)
+
+        return quality.Rule(rule.name, rejects)
+
+    texts = ["short", "x1 " * 100, " ".join(f"word{i}" for i in range(60))]
+    rules = [counted(r) for r in quality.RULES]
+    assert quality.cascade(block(texts), rules) == ["base", "base", None]
+    assert seen["base"] == 3 and all(n == 1 for name, n in seen.items() if name != "base")
+    found = quality.order(block(texts * 50), quality.RULES, quality.METRICS)
+    assert sorted(n for n, _, _ in found) == sorted(r.name for r in quality.RULES) and sum(r for *_, r in found) == 100
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = {r.doc_id: r.kept for r in quality.judge(docs, quality.RULES, metrics=()).collect()}
+    assert plain == {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+
+
+def test_text_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([("x", "a b", 1, "n"), ("x", "a b", 1, "n")], "doc_id string, text string, n_words int, id string")
+    got = quality.judge(docs).collect()
+    assert [(r.doc_id, r.n_words, r.kept) for r in got] == [("x", 2, False)] * 2

@@ -45,3 +45,12 @@ def test_nulls_repeats_long_lines_and_clashing_columns(spark):
 def test_empty_table_and_digest(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_texts_with_very_many_shared_lines(spark):
+    """Each of 20,000 distinct shared lines is dropped by its position, in time in proportion to the lines."""
+    shared = [f"line {i}" for i in range(20_000)]
+    rows = [(1, "\n".join([*shared, "own", *shared])), (2, "\n".join(shared)), (3, "own\n" + shared[7])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, at int")
+    assert sorted(run(df, min_docs=2)) == sorted(brute(rows, 2))
+    assert run(df.limit(0), min_docs=2) == []

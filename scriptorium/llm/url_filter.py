@@ -7,10 +7,18 @@ more its groups scatter than binomial draws would.  A host is blocked if even
 the upper credible bound of its good share stays below ``least_good``.  Only
 group counts are shuffled, pre-aggregated; page bodies are never read.
 
+A host's suffix is its last label, or its last two where the last is a country's
+(two letters) and the one before it a registry's (SECOND_LEVEL); its registered
+domain is the suffix and the label before it.  An IPv4 address is a domain of its
+own under one suffix for all addresses.
+
 Defined results: a null url, or one without '://', has an empty host and path;
-it fits no rule and has the prior of its (empty) suffix.  Labels that are null
-are no outcome.  Repeated rows count each.  Without any label the good share is
-taken as 1, so nothing is blocked by reputation.
+it fits no rule and has the prior of its (empty) suffix.  Very long urls are read
+whole.  Labels that are null are no outcome.  Repeated rows count each.  Of rules
+of equal length the one that comes last in alphabetical order wins; a bound equal
+to ``least_good`` is allowed.  Without any label the good share is taken as 1, so
+nothing is blocked by reputation.  An empty table gives an empty table; of other
+columns only ``id_col`` is returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +31,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.plans.scratch import stored
 
+from .columns import small
+
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LEVELS = ("suffix", "domain", "host")
-#: The posterior table is broadcast up to so many hosts.
-BROADCAST_HOSTS = 100_000
+#: Labels under a country's suffix that registries sell names below.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
+_ADDRESS = r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$"
 LEAST_PRECISION, MOST_PRECISION = 2.0, 1000.0
 
 
@@ -45,12 +56,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _two_labels(host: Column) -> Column:
+    """Whether the suffix is two labels, as in 'co.uk'."""
+    return host.rlike(rf"(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return F.when(host.rlike(_ADDRESS), F.lit("(address)")).when(_two_labels(host), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    return F.when(host.rlike(_ADDRESS), host).when(_two_labels(host), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -109,9 +125,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, s
     rows = rows.withColumns({"fit": rule_of(F.col("host"), F.col("path"), rules), "domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     for level in LEVELS:
         at = known.where(F.col("level") == level).select(F.col("name").alias(level), F.col("bound").alias(f"{level}_bound"))
-        if known.where(F.col("level") == level).limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-            at = F.broadcast(at)
-        rows = rows.join(at, level, "left")
+        rows = rows.join(small(at), level, "left")
     bound = F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(1.0))
     verdict = F.coalesce("fit.verdict", F.when(bound < least_good, "block").otherwise("allow"))
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.round(bound, 4).alias("good_bound"))

@@ -49,3 +49,16 @@ def test_labels_reach_pages(spark, sf):
     pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
     found = u.labelled_pages(pages, labels)
     assert 0 < found.count() <= pages.count() and {r.good for r in found.collect()} <= {0, 1, None}
+
+
+def test_suffixes_domains_and_addresses(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("com", "y.com"), "com": ("com", "com"), "1.2.3.4": ("(address)", "1.2.3.4"), "1.2.3.4:80": ("(address)", "1.2.3.4:80"), "a.com.de": ("com.de", "a.com.de"), "eco.uk": ("uk", "eco.uk"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: (r.s, r.d) for r in df.select("h", u.suffix_of(df.h).alias("s"), u.domain_of(df.h).alias("d")).collect()} == hosts
+
+
+def test_long_urls_repeats_and_clashing_names(spark):
+    long = "http://" + "h" * 100_000 + ".com/" + "p" * 100_000
+    df = spark.createDataFrame([(1, long, "x", 0.1)] * 2 + [(2, "http://a.example.net/en/", "x", 0.1)], "page_id long, url string, verdict string, good_bound double")
+    got = u.judge(df, spark.createDataFrame([], "url string, good int")).collect()
+    assert sorted((r.page_id, len(r.host), len(r.path), r.rule, r.verdict) for r in got) == [(1, 100_004, 100_001, None, "allow")] * 2 + [(2, 13, 4, "example.net/en/", "allow")]

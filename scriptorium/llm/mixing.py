@@ -11,14 +11,16 @@ A source's documents fall into blocks by a hash.  Each epoch is a permutation
 of the blocks and, within a block, of its documents (``place`` sorts an epoch).
 Whole epochs take all rows; the last takes blocks in their order up to the
 budget and, of the block where it ends, documents in theirs.  Only sums per
-source and per block are shuffled; a window ever sees the blocks of a source or
-the documents of one block.
+source and per block are shuffled.  Sums along the permutation are taken in two
+steps, over ranges of the order and within each, so a window sees at most the
+ranges of a source, one range's blocks, or the documents of one block.
 
 Defined results: a null source is a source of its own.  Null or empty text has
 no tokens; a source without tokens is read once.  Identical rows stand or fall
-together.  A budget is exceeded by less than one document (or one group of
-identical rows).  An empty table gives an empty table; other columns are kept
-in ``row``.
+together, and ties in the order are theirs alone.  A very long document is read
+whole or not at all: a budget is exceeded by less than one document (or one
+group of identical rows).  An empty table gives an empty table; all columns are
+kept in ``row``, so none clashes with the result's.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .columns import small, word_count
 
 #: Documents in a block (about).
 BLOCK_DOCS = 1024
+#: Leading hexadecimal digits of a block's place that make a range of the order: 4,096 ranges a source.
+_RANGE_DIGITS = 3
 _STEPS, _ROUNDS = 64, 5
 
 
@@ -119,8 +123,13 @@ def mix(
     placed = in_blocks(sized)
     # where each block stands in its source's partial epoch
     blocks = placed.groupBy("source", "block", "epochs", "rest").agg(F.sum("n_tokens").alias("t"))
-    along = Window.partitionBy("source").orderBy(_order("source", "epochs", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("t").over(along), F.lit(0)))
+    order = _order("source", "epochs", "block")
+    blocks = stored(blocks.select("*", order.alias("order"), F.substring(order, 1, _RANGE_DIGITS).alias("range")), "mix_order")
+    ranges = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("source", "range").agg(F.sum("t").alias("t")).select(F.col("source").alias("of"), F.col("range").alias("of_range"), F.coalesce(F.sum("t").over(ranges), F.lit(0)).alias("start"))
+    blocks = blocks.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))).drop("of", "of_range")
+    along = Window.partitionBy("source", "range").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.col("start") + F.coalesce(F.sum("t").over(along), F.lit(0)))
     partial = F.when(F.col("rest") == 0, 0).when(F.col("before") + F.col("t") <= F.col("rest"), 1).when(F.col("before") < F.col("rest"), 2).otherwise(0)
     blocks = stored(blocks.withColumn("partial", partial).where("partial > 0").select(F.col("source").alias("of"), F.col("block").alias("of_block"), "partial", "before"), "mix_blocks")
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from scriptorium.llm import packing
@@ -83,3 +84,45 @@ def test_copies_of_a_hot_text_are_spread_over_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     n, _ = check(rows, packing.pack(df, capacity=100).collect(), 100, 2)
     assert n <= 880  # 800 at best: every copy beside another text
+
+
+def test_a_hot_source_is_not_walked(monkeypatch):
+    """Bins that a hot source or cluster has filled are not searched again."""
+    n = 8192
+    began = time.perf_counter()
+    bins, _ = packing.best_fit(sorted((i * 37 % 700 + 20 for i in range(n)), reverse=True), [None] * n, ["a"] * n, 2048, 2)
+    assert len(set(bins)) == n // 2
+    rng = random.Random(2)
+    rows = sorted(((rng.randrange(20, 700), 1 if i % 3 == 0 else 10 + i, "a" if i % 3 == 0 else rng.choice("bcdefg")) for i in range(n)), key=lambda x: (-x[0], str(x)))
+    bins, _ = packing.best_fit(*zip(*rows, strict=True), 2048, 2)
+    assert len(set(bins)) <= n // 2
+    assert time.perf_counter() - began < 4
+
+
+def test_hot_indexes_change_nothing(monkeypatch):
+    rng = random.Random(11)
+    for trial in range(20):
+        n = rng.randrange(60, 300)
+        rows = sorted(((rng.randrange(1, 80), rng.choice([1, 1, 2, 10 + rng.randrange(200)]), rng.choice(["a", "a", "b", None])) for _ in range(n)), key=lambda x: (-x[0], str(x)))
+        assert packing.best_fit(*zip(*rows, strict=True), 100, 1 + trial % 2)[0] == plain_best_fit(*zip(*rows, strict=True), 100, 1 + trial % 2)
+
+
+def test_groups_do_not_follow_the_shuffle_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((r.doc_id, r.piece, r.bin_id or -1) for r in packing.pack(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len({b >> 20 for *_, b in found[0]}) > 5
+
+
+def test_text_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([("x", "a b", "s", 1, 2)] * 3 + [("y", "w " * 5000, None, 1, 2)], "doc_id string, text string, source string, row int, words int")
+    got = packing.pack(df, capacity=2000).collect()
+    assert sorted((r.doc_id, r.piece, r.n_tokens) for r in got) == [("x", 0, 2)] * 3 + [("y", 0, 2000), ("y", 1, 2000), ("y", 2, 1000)]
+    assert len({r.bin_id for r in got if r.doc_id == "x"}) == 3

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as p
@@ -74,10 +75,28 @@ def test_run_and_registration(spark, sf, stages):
     assert len([n for n in queries.queries() if n.startswith("op")]) == 10
 
 
-def test_repeated_and_empty_rows(spark, sf):
-    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "a", 35)] * 3 + [(2, None, None, None, None), (None, "eta theta", "en", "a", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+def test_no_text_is_lost_for_its_id(spark, sf):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "a", 35)] * 3
+    rows += [(1, "eta theta iota kappa lambda my", "en", "b", 30), (1, "eta theta iota kappa lambda my", "en", "a", 30), (2, None, None, None, None)]
+    rows += [(None, "eta theta", "en", "a", 9), (None, "eta theta", "en", "a", 9), (None, "other words", "en", "a", 11), (3, long, "en", "a", len(long)), (4, long, "en", "a", len(long)), (5, "", "en", "a", 0)]
+    docs = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, kept boolean")
     kept = p.near_duplicates(spark, docs, sf)
-    assert Counter(r.doc_id for r in kept.collect()) == {1: 1, 2: 1, None: 1}
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, (r.text or "")[:9], r.source) for r in kept.collect())
+    assert found == [(0, "eta theta", "a"), (0, "other wor", "a"), (1, "alpha bet", "a"), (1, "eta theta", "a"), (2, "", None), (3, "w0 w1 w2 ", "a"), (5, "", "a")]
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_every_stage_takes_odd_rows(spark, sf):
+    """Nulls in any column, clashing and extra columns, ties and repeats go through all stages."""
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = real.withColumns({"row": F.lit(1), "bin_id": F.lit("b"), "lang_pred": F.lit(None).cast("string")})
+    odd = extra.limit(5).withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    docs = stored(extra.unionByName(odd).unionByName(extra.limit(7)), "odd_documents")
+    for name, stage in p.STAGES[:-1]:
+        after = stored(stage(spark, docs, sf), f"odd_{name}")
+        assert after.columns == docs.columns and after.count() > 0
+        docs = after
+    assert p.bins(spark, docs, sf).where("piece = 0").count() == docs.count()

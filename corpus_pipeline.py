@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 it kept, and returns the columns of documents (the last: where each piece of
 each document is packed).  Every stage is written as Parquet and read again.
+
+Defined results: a row without text, or without a letter, goes at the language
+stage; rows without an id are rows like others.  Rows that repeat an id and its
+text are copies, of which the first by its other columns stays; different texts
+under one id are different documents, and none is lost for its id.  Very long
+texts are read whole.  A document whose lines are all shared goes on with an
+empty text, and the last stage gives it no bin.  Ties go by id, then by text.  An
+empty table gives an empty table at every stage; extra columns pass through, and
+none clashes with a stage's own.
 """
 
 from __future__ import annotations
@@ -11,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import langid, line_dedup, minhash, mixing, packing
+from scriptorium.llm.columns import small
 from scriptorium.plans.scratch import stored
 
 #: The most repeated source is read so many times; every document at least once.
@@ -30,14 +40,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    found = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "near_duplicates")
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return out
-    one = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least id."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null")
+    repeated = stored(ids.select(F.col("doc_id").alias("of"), F.lit(True).alias("repeated")), "repeated_ids")
+    several = not repeated.isEmpty()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("words"))
+    if several:
+        # an id that several rows have names none of them: each of its texts is a document of its own
+        own = F.when(F.col("repeated"), F.xxhash64(F.lit("text of an id"), "key", "words")).otherwise(F.col("key"))
+        keyed = stored(keyed.join(small(repeated), F.col("key").eqNullSafe(F.col("of")), "left").select("row", own.alias("key"), "words"), "keyed")
+    found = stored(minhash.near_duplicates(keyed, id_col="key", text_col="words").select("key", "kept"), "near_duplicates")
+    out = keyed.join(found.where("not kept").select("key").distinct(), "key", "left_anti")
+    if several:
+        one = F.col("row.doc_id").eqNullSafe(F.col("of"))
+        first = out.join(small(repeated), one, "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+        out = out.join(small(repeated), one, "left_anti").select("key", "row").unionByName(first)
+    return out.select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

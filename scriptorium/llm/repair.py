@@ -49,114 +49,142 @@ class Grammar:
         return out
 
 
-class _Text:
-    """The symbols of a shard as a doubly linked list; position n stands for 'none'."""
-
-    def __init__(self, symbols: np.ndarray, last: np.ndarray):
-        n = len(symbols)
-        self.symbols = symbols
-        self.next = np.append(np.arange(1, n + 1), n)
-        self.next[:n][last] = n
-        self.prev = np.append(np.arange(-1, n - 1), n)
-        self.prev[np.flatnonzero(last) + 1] = n
-        self.prev[0] = n
-        self.prev[n] = n
-        self.rank = np.zeros(n + 1, np.int32)
-        self.alive = np.ones(n, bool)
-
-    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The positions ``at`` by the pair that begins there (and place), and how many each pair has."""
-        a, b = self.symbols[at].astype(np.uint64), self.symbols[self.next[at]].astype(np.uint64)
-        width = int(max(a.max(), b.max())).bit_length()
-        if 2 * width + len(self.symbols).bit_length() <= 64:  # the position fits beside the pair: one plain sort
-            bits = np.uint64(64 - 2 * width)
-            a <<= np.uint64(width)
-            a |= b
-            a <<= bits
-            a |= at.view(np.uint64)
-            a.sort()
-            at = (a & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
-            a >>= bits
-            other = a[1:] != a[:-1]
-        else:
-            order = np.lexsort((at, b, a))
-            at, a, b = at[order], a[order], b[order]
-            other = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.concatenate([[0], np.flatnonzero(other) + 1])
-        return at, np.diff(first, append=len(at))
-
-    def choose(self, at: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Which positions are replaced: none overlaps another, the more frequent pair has precedence, and a run of one pair gives every second."""
-        rank = np.empty(len(counts), np.int32)
-        rank[np.argsort(counts, kind="stable")] = np.arange(1, len(counts) + 1, dtype=np.int32)
-        mine = rank[pair]
-        self.rank[at] = mine
-        begins = np.ones(len(at), bool)
-        begins[1:] = (self.next[at[:-1]] != at[1:]) | (pair[1:] != pair[:-1])
-        begins = np.flatnonzero(begins)
-        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) & 1
-        out = (odd == 0) & (mine >= self.rank[self.prev[at]]) & (mine >= self.rank[self.next[at]])
-        self.rank[at] = 0
-        return out
+def _by_pair(a: np.ndarray, b: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions ``at`` (below n) by the pair (a, b) that begins there, then by place, and how many each pair has."""
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    width = int(max(a.max(), b.max())).bit_length()
+    if 2 * width + n.bit_length() <= 64:  # the position fits beside the pair: one plain sort
+        bits = np.uint64(64 - 2 * width)
+        key = a.astype(np.uint64)
+        key <<= np.uint64(width)
+        key |= b
+        key <<= bits
+        key |= at.view(np.uint64)
+        key.sort()
+        at = (key & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+        key >>= bits
+        other = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((at, b, a))
+        at, a, b = at[order], a[order], b[order]
+        other = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.concatenate([[0], np.flatnonzero(other) + 1])
+    return at, np.diff(first, append=len(at))
 
-    def replace(self, at: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """Put ``names`` for the pairs at ``at``; the positions where pairs that changed begin."""
-        gone = self.next[at]
-        after = self.next[gone]
-        self.symbols[at] = names
-        self.next[at] = after
-        self.prev[after] = at
-        n = len(self.symbols)
-        self.prev[n] = n
-        self.alive[gone] = False
-        return np.concatenate([at[after < n], self.prev[at]])
 
+def _choose(at: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which positions are replaced, the pair of each): none overlaps another, the more frequent pair has precedence, and a run of one pair gives every second.
 
-def compress(ids: np.ndarray, off: np.ndarray, base: int) -> Grammar:
-    """Grammar of the documents ids[off[i]:off[i+1]]; all ids are below ``base``."""
-    last = np.zeros(len(ids), bool)
-    last[off[1:][off[1:] > off[:-1]] - 1] = True
-    text = _Text(ids.astype(np.uint32), last)
-    rules, n_rules, threshold = [], 0, None
-    todo = np.flatnonzero(~last)
-    while len(todo):
-        at, counts = text.pairs(todo)
-        if threshold is None:
-            threshold = max(LEAST, int(counts.max()) // FALL)
-        elif threshold > LEAST or len(todo) < 1000:
-            threshold = max(LEAST, threshold // FALL)
+    ``rank`` is a scratch array of zeros, one longer than the text.
+    """
+    order = np.empty(len(counts), np.int32)
+    order[np.argsort(counts, kind="stable")] = np.arange(1, len(counts) + 1, dtype=np.int32)
+    pair = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    mine = order[pair]
+    rank[at] = mine
+    out = (mine >= rank[before]) & (mine >= rank[after])
+    rank[at] = 0
+    joined = after[:-1] == at[1:]
+    joined &= pair[1:] == pair[:-1]
+    if joined.any():
+        begins = np.flatnonzero(np.concatenate([[True], ~joined]))
+        out &= ((np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))) & 1) == 0
+    return out, pair
+
+
+class _Rules:
+    def __init__(self, base: int):
+        self.base, self.n, self.made = base, 0, []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.made.append(np.stack([a, b], 1).astype(np.uint32))
+        self.n += len(a)
+        return np.arange(self.base + self.n - len(a), self.base + self.n, dtype=np.uint32)
+
+    def table(self) -> np.ndarray:
+        return np.concatenate(self.made) if self.made else np.zeros((0, 2), np.uint32)
+
+
+def _wide_rounds(symbols: np.ndarray, last: np.ndarray, rules: _Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds over the whole text, closed up after each, while a round takes a twentieth of it."""
+    threshold = None
+    while len(symbols) > 1:
+        at, counts = _by_pair(*(x[~last[:-1]] for x in (symbols[:-1], symbols[1:], np.arange(len(symbols) - 1))), len(symbols))
+        if not len(counts):
+            break
+        threshold = max(LEAST, int(counts.max()) // FALL if threshold is None else threshold // FALL)
         chosen = counts >= threshold
-        tried = at[np.repeat(chosen, counts)]
-        counts_tried = counts[chosen]
-        pair = np.repeat(np.arange(len(counts_tried)), counts_tried)
-        taken = text.choose(tried, pair, counts_tried) if len(tried) else np.zeros(0, bool)
+        tried, sizes = at[np.repeat(chosen, counts)], counts[chosen]
+        taken, pair = _choose(tried, tried - 1, tried + 1, sizes, np.zeros(len(symbols) + 1, np.int32))
         where, index = tried[taken], pair[taken]
-        used = np.bincount(index, minlength=len(counts_tried)) >= LEAST
+        used = np.bincount(index, minlength=len(sizes)) >= LEAST
+        whole = used[index]
+        where, index = where[whole], index[whole]
+        if len(where):
+            one = tried[(np.cumsum(sizes) - sizes)[used]]
+            name = np.zeros(len(sizes), np.uint32)
+            name[used] = rules.add(symbols[one], symbols[one + 1])
+            symbols[where] = name[index]
+            last[where] = last[where + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[where + 1] = False
+            symbols, last = symbols[keep], last[keep]
+        if threshold == LEAST and 20 * len(where) < len(symbols):
+            break
+    return symbols, last
+
+
+def _narrow_rounds(symbols: np.ndarray, last: np.ndarray, rules: _Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds over a linked text (position n is 'none') that look again only where a pair is frequent or new, to the end."""
+    n = len(symbols)
+    after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+    after[:n][last] = n
+    before[np.flatnonzero(last) + 1] = n
+    before[:1] = n
+    before[n] = n
+    alive, rank = np.ones(n, bool), np.zeros(n + 1, np.int32)
+    todo = np.flatnonzero(~last)
+    while len(todo):
+        at, counts = _by_pair(symbols[todo], symbols[after[todo]], todo, n)
+        often = counts >= LEAST
+        at, counts = at[np.repeat(often, counts)], counts[often]
+        if not len(at):
+            break
+        taken, pair = _choose(at, before[at], after[at], counts, rank)
+        where, index = at[taken], pair[taken]
+        used = np.bincount(index, minlength=len(counts)) >= LEAST
         if not used.any():
-            if threshold == LEAST:
-                break
-            continue
+            break
         whole = used[index]
         where, index = where[whole], index[whole]
-        name = np.cumsum(used) - 1 + base + n_rules
-        one = tried[(np.cumsum(counts_tried) - counts_tried)[used]]
-        rules.append(np.stack([text.symbols[one], text.symbols[text.next[one]]], 1))
-        n_rules += int(used.sum())
-        changed = text.replace(where, name[index].astype(np.uint32))
-        again = np.zeros(len(text.symbols) + 1, bool)
-        again[at[np.repeat(counts >= LEAST, counts)]] = True
-        again[changed] = True
-        again[:-1] &= text.alive & (text.next[:-1] < len(text.symbols))
-        again[-1] = False
-        if 20 * len(where) > len(text.symbols):  # many are gone: close the ranks
-            again = again[:-1][text.alive]
-            text = _Text(text.symbols[text.alive], text.next[:-1][text.alive] == len(text.symbols))
-        todo = np.flatnonzero(again)
-    symbols = text.symbols[text.alive]
-    ends = np.flatnonzero(text.next[:-1][text.alive] == len(text.symbols)) + 1
+        one = at[(np.cumsum(counts) - counts)[used]]
+        name = np.zeros(len(counts), np.uint32)
+        name[used] = rules.add(symbols[one], symbols[after[one]])
+        symbols[where] = name[index]
+        gone = after[where]
+        beyond = after[gone]
+        after[where] = beyond
+        before[beyond] = where
+        before[n] = n
+        alive[gone] = False
+        todo = np.concatenate([at, where, before[where]])
+        todo = todo[todo < n]
+        todo = todo[alive[todo] & (after[todo] < n)]
+        todo.sort()
+        todo = todo[np.diff(todo, prepend=-1) > 0]
+    return symbols[alive], after[:n][alive] == n
+
+
+def compress(ids: np.ndarray, off: np.ndarray, base: int) -> Grammar:
+    """Grammar of the documents ids[off[i]:off[i+1]]; all ids are below ``base``."""
+    last = np.zeros(len(ids), bool)
+    last[off[1:][off[1:] > off[:-1]] - 1] = True
+    rules = _Rules(base)
+    symbols, last = _narrow_rounds(*_wide_rounds(ids.astype(np.uint32), last, rules), rules)
     doc_symbols = np.zeros(len(off), np.int64)
-    doc_symbols[1:][off[1:] > off[:-1]] = ends
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    doc_symbols[1:][off[1:] > off[:-1]] = np.flatnonzero(last) + 1
+    table = rules.table()
     g = Grammar(base, table, _lengths(table, base), symbols, np.maximum.accumulate(doc_symbols), np.zeros(0, np.uint32))
     g.marks = np.concatenate([[0], np.cumsum(g.width(symbols))])[:-1:MARK].astype(np.uint32)
     return g

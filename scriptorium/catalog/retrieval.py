@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.operators import evaluate as E
 from scriptorium.operators import retrieval as V
+from scriptorium.plans.broadcasts import small
+from scriptorium.plans.scratch import stored
 from scriptorium.registry import query
 
 from .base import table
 
-#: A benchmark item's query is its first 12 tokens.
-_TERMS = 12
-_Q = "SELECT item_id, array_to_string((regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))[1:12], ' ') AS text FROM benchmark"
+_Q = "SELECT item_id, text FROM benchmark"
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, _TERMS), " ").alias("text"))
+    """Every benchmark passage, whole, is a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_BM25 = f"""q AS (SELECT item_id AS query_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(string_split(text, ' ')) AS t FROM ({_Q})) GROUP BY ALL),
+_BM25 = f"""q AS (SELECT item_id AS query_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM ({_Q})) GROUP BY ALL),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM documents),
 n AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 tf AS (SELECT doc_id, term, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
@@ -47,16 +47,14 @@ def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("query_id", F.array_join(F.transform("l", lambda x: x.line), "\n\n").alias("context"))
 
 
-_COUNTS = f"""c AS (SELECT q.item_id AS query_id, doc_id, ((length(lower(d.text)) - length(replace(lower(d.text), q.w, ''))) // length(q.w))::BIGINT AS hits
-FROM documents d, (SELECT item_id, string_split(text, ' ')[1] AS w FROM ({_Q})) q WHERE contains(lower(d.text), q.w)),
+_COUNTS = """c AS (SELECT b.item_id AS query_id, doc_id, ((length(lower(d.text)) - length(replace(lower(d.text), lower(b.text), ''))) // length(b.text))::BIGINT AS hits
+FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))),
 ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM c) WHERE rank <= 5)"""
 
 
 def _count_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents with most occurrences of each query's first word; the query set is one broadcast row."""
-    words = _queries(spark, sf_dir).select("query_id", F.element_at(F.split("text", " "), 1).alias("w")).agg(F.collect_list(F.struct("query_id", "w")).alias("ws"))
-    found = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(words), F.lit(True)).select("doc_id", F.explode(F.filter("ws", lambda x: F.contains(F.lower(F.col("text")), x.w))).alias("q"), "text")
-    hits = found.select("q.query_id", "doc_id", T.count_of(F.col("text"), F.col("q.w")).alias("hits"))
+    """The five documents with most occurrences of each query."""
+    hits = V.phrase_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir))
     return V.top_k(hits, ["query_id"], [F.desc("hits"), F.asc("doc_id")], 5)
 
 
@@ -68,9 +66,10 @@ SELECT query_id, round(sum(1 / (60.0 + rank)), 6) AS score, arg_min(doc_id, list
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _bm25(spark, sf_dir).select("query_id", "doc_id", "rank", F.lit(1).alias("list_no"))
     b = _count_hits(spark, sf_dir).select("query_id", "doc_id", "rank", F.lit(2).alias("list_no"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), r"\s+", " "), 1, 500).alias("key"))
-    lists = a.unionByName(b)
-    keyed = docs.join(lists, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lists = stored(a.unionByName(b), "ranked_lists")
+    hits = docs.join(small(lists.select("doc_id").distinct()), "doc_id", "left_semi")  # a few texts are normalised, not all
+    keyed = hits.join(lists, "doc_id").select("query_id", "doc_id", "rank", "list_no", F.substring(F.regexp_replace(F.lower("text"), r"\s+", " "), 1, 500).alias("key"))
     fused = V.rrf(keyed)
     payload = keyed.select("query_id", "key", "list_no", "rank", "doc_id")
     return fused.join(payload, ["query_id", "key", "list_no", "rank"]).select("query_id", "score", "doc_id")
@@ -121,21 +120,20 @@ def linear_rerank_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VEC = """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label = q.label AS rel, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 9) DESC, v.vec_id) AS rank
-FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= {k}"""
+FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) WHERE rank <= {k}"""
 _DOT = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
 def _neighbours(spark: SparkSession, sf_dir: str, k: int, cosine: bool = False) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.struct("embedding", "label").alias("query"))
-    score = (V.cosine if cosine else V.dot)(F.col("embedding"), F.col("q.query.embedding"))
-    rows = v.select(F.struct("vec_id", "label").alias("vec_id"), "embedding")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     # a vector is no answer to itself: one more is asked for and the query left out
-    found = V.vector_top_k(rows, q, k + 1, score).join(q.select("query_id", F.col("query.label").alias("own")), "query_id")
-    found = found.where("vec_id.vec_id <> query_id").drop("rank")
-    ranked = V.top_k(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id.vec_id")], k)
-    return ranked.select("query_id", "vec_id.vec_id", (F.col("vec_id.label") == F.col("own")).alias("rel"), "score", F.col("rank").cast("long").alias("rank"))
+    found = V.vector_top_k(v, q, k + 1, cosine=cosine).where("vec_id <> query_id").drop("rank")
+    ranked = stored(V.top_k(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k), "neighbours")
+    labels = v.select("vec_id", "label").join(small(ranked.select("vec_id").union(ranked.select("query_id")).distinct()), "vec_id", "left_semi")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return ranked.join(labels, "vec_id").join(own, "query_id").select("query_id", "vec_id", (F.col("label") == F.col("own")).alias("rel"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_topk_ip", f"SELECT query_id, vec_id, round(score, 6) AS score, rank::BIGINT AS rank FROM ({_VEC.format(score=_DOT, k=5)})")
@@ -150,7 +148,7 @@ def vector_cosine_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rank_metrics",
-    f"""WITH h AS ({_VEC.format(score=_DOT, k=10)}), t AS (SELECT a.vec_id AS query_id, count(*) - 1 AS total FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 GROUP BY 1),
+    f"""WITH h AS ({_VEC.format(score=_DOT, k=10)}), t AS (SELECT a.vec_id AS query_id, count(*) - 1 AS total FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 GROUP BY 1),
 m AS (SELECT query_id, count(*) FILTER (rel AND rank <= 5) AS good, count(*) FILTER (rel) AS all_good, coalesce(1.0 / min(rank) FILTER (rel), 0) AS mrr, coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 5), 0) AS dcg FROM h GROUP BY 1)
 SELECT query_id, round(good / 5.0, 6) AS precision_k, round(good / 5.0, 6) AS precision_n, round(good / total::DOUBLE, 6) AS recall, (good > 0)::BIGINT AS hit, round(mrr, 6) AS mrr,
 round(CASE WHEN all_good > 0 THEN dcg / list_sum(list_transform(range(1, least(5, all_good) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_list,
@@ -159,20 +157,37 @@ round(CASE WHEN total > 0 THEN dcg / list_sum(list_transform(range(1, least(5, t
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     totals = v.groupBy("label").agg((F.count("*") - 1).cast("int").alias("total"))
-    total = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(totals, "label").select("query_id", "total")
+    total = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(totals, "label").select("query_id", "total")
     hits = _neighbours(spark, sf_dir, 10).withColumn("rel", F.col("rel").cast("int")).join(total, "query_id")
     m = E.rank_metrics(hits, ["query_id"], 5, F.col("total"))
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_k", "precision_n", "recall")], F.col("hit").cast("long").alias("hit"), *[F.round(c, 6).alias(c) for c in ("mrr", "ndcg_list", "ndcg_set")])
 
 
+@query(
+    "rank_metrics_overall",
+    f"""WITH h AS ({_VEC.format(score=_DOT, k=10)}), m AS (SELECT query_id, count(*) FILTER (rel) AS good, coalesce(1.0 / min(rank) FILTER (rel), 0) AS mrr, {", ".join(f"max((rel AND rank <= {k})::INT) AS h{k}" for k in (1, 5, 10))},
+{", ".join(f"coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= {k}), 0) AS d{k}" for k in (5, 10))} FROM h GROUP BY 1)
+SELECT count(*)::BIGINT AS queries, round(avg(mrr), 6) AS mrr, {", ".join(f"round(avg(h{k}), 6) AS hit_{k}" for k in (1, 5, 10))},
+{", ".join(f"round(avg(CASE WHEN good > 0 THEN d{k} / list_sum(list_transform(range(1, least({k}, good) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END), 6) AS ndcg_{k}" for k in (5, 10))} FROM m""",
+)
+def rank_metrics_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over all queries of MRR, hit@1/5/10 and nDCG@5/10."""
+    hits = stored(_neighbours(spark, sf_dir, 10).withColumn("rel", F.col("rel").cast("int")), "overall_hits")
+    by_query = None
+    for k in (1, 5, 10):
+        one = E.rank_metrics(hits, ["query_id"], k, F.lit(k)).select("query_id", "mrr", F.col("hit").alias(f"hit_{k}"), F.col("ndcg_list").alias(f"ndcg_{k}"))
+        by_query = one if by_query is None else by_query.join(one.drop("mrr"), "query_id")
+    return by_query.agg(F.count("*").alias("queries"), F.round(F.avg("mrr"), 6).alias("mrr"), *[F.round(F.avg(f"hit_{k}"), 6).alias(f"hit_{k}") for k in (1, 5, 10)], *[F.round(F.avg(f"ndcg_{k}"), 6).alias(f"ndcg_{k}") for k in (5, 10)])
+
+
 @query(
     "cold_start_buckets",
-    f"""WITH h AS (SELECT query_id, max((rel AND rank <= 5)::INT) AS hit5, max((rel AND rank <= 1)::INT) AS hit1 FROM ({_VEC.format(score=_DOT, k=5)}) GROUP BY 1), n AS (SELECT query_id, hit1, hit5, query_id // 50 AS history FROM h)
+    f"""WITH h AS (SELECT query_id, max((rel AND rank <= 5)::INT) AS hit5, max((rel AND rank <= 1)::INT) AS hit1 FROM ({_VEC.format(score=_DOT, k=5)}) GROUP BY 1), n AS (SELECT query_id, hit1, hit5, query_id // 100 AS history FROM h)
 SELECT b AS bucket, count(*)::BIGINT AS cases, round(avg(hit1), 6) AS hit_1, round(avg(hit5), 6) AS hit_5 FROM n, (SELECT unnest([0, 1, 3, 5]) AS b) WHERE history >= b GROUP BY b""",
 )
 def cold_start_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _neighbours(spark, sf_dir, 5).groupBy("query_id").agg(F.max((F.col("rel") & (F.col("rank") <= 5)).cast("int")).alias("h5"), F.max((F.col("rel") & (F.col("rank") <= 1)).cast("int")).alias("h1"))
-    history = F.expr("query_id div 50")
+    history = F.expr("query_id div 100")
     cases = hits.select("h1", "h5", F.explode(F.filter(F.array(*map(F.lit, (0, 1, 3, 5))), lambda b: b <= history)).alias("bucket"))
     return cases.groupBy("bucket").agg(F.count("*").alias("cases"), F.round(F.avg("h1"), 6).alias("hit_1"), F.round(F.avg("h5"), 6).alias("hit_5"))
 
@@ -189,15 +204,16 @@ def vector_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("hits"))
 
 
-@query(
-    "semantic_or_local_search",
-    f"""WITH {_BM25}, {_COUNTS} SELECT query_id, doc_id, 'ranked' AS tier FROM bm WHERE query_id % 2 = 0 UNION ALL SELECT query_id, doc_id, 'count' FROM ct WHERE query_id NOT IN (SELECT query_id FROM bm WHERE query_id % 2 = 0)""",
-)
+def ranked_or_counted(ranked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(query_id, doc_id, tier): the ranked hits of a query, or its occurrences where the ranked search found nothing."""
+    first = ranked.select("query_id", "doc_id", F.lit("ranked").alias("tier"))
+    rest = counted.select("query_id", "doc_id", F.lit("count").alias("tier"))
+    return first.unionByName(rest.join(ranked.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+@query("semantic_or_local_search", f"WITH {_BM25}, {_COUNTS} SELECT query_id, doc_id, 'ranked' AS tier FROM bm UNION ALL SELECT query_id, doc_id, 'count' FROM ct WHERE query_id NOT IN (SELECT query_id FROM bm)")
 def semantic_or_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked hits where a query has any (here: even queries), else occurrences."""
-    ranked = _bm25(spark, sf_dir).where("query_id % 2 = 0").select("query_id", "doc_id", F.lit("ranked").alias("tier"))
-    local = _count_hits(spark, sf_dir).select("query_id", "doc_id", F.lit("count").alias("tier"))
-    return ranked.unionByName(local.join(ranked.select("query_id").distinct(), "query_id", "left_anti"))
+    return ranked_or_counted(stored(_bm25(spark, sf_dir), "ranked"), _count_hits(spark, sf_dir))
 
 
 @query("weighted_recency", "SELECT o_orderkey, round(0.7 * least(greatest((year(o_orderdate) - 1995) / 6.0, 0), 1) + 0.3 * o_totalprice / 500000, 9) AS score FROM orders")

@@ -105,7 +105,34 @@ FROM (SELECT doc_id, CASE WHEN n > 0 THEN {_MOJI} ELSE 0.0 END AS m FROM (SELECT
 )
 def noise_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.mojibake_ratio(c), 6).alias("mojibake"), F.round(T.noisy_ratio(c), 6).alias("noisy"), F.round(T.ocr_score(c), 6).alias("score"))
+    both = table(spark, sf_dir, "documents").select("doc_id", T.mojibake_ratio(c).alias("m"), T.noisy_ratio(c).alias("n"))
+    return both.select("doc_id", F.round("m", 6).alias("mojibake"), F.round("n", 6).alias("noisy"), F.round(T.ocr_score(F.col("m"), F.col("n")), 6).alias("score"))
+
+
+_NAMES = [(1, "Nguyễn Văn Ánh"), (2, "  Crème   Brûlée "), (3, "Škoda Łódź ﬁn"), (4, "e\u0301t\u00e9 Ǆ")]
+_PLAIN = [(1, "Nguyen Van Anh"), (2, "  Creme   Brulee "), (3, "Skoda Łodz fin"), (4, "ete DZ")]
+
+
+@query("accent_strip_names", f"SELECT a.id, b.t AS kept_case, trim(regexp_replace(lower(b.t), '\\s+', ' ', 'g')) AS normal FROM {values_sql(['id', 't'], _NAMES)} JOIN (SELECT * FROM {values_sql(['id', 't'], _PLAIN)}) b USING (id)".replace("AS lit(id, t) JOIN", "AS a(id, t) JOIN"))
+def accent_strip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vietnamese, Slavic and decomposed letters and ligatures, against their plain forms written out."""
+    df = spark.createDataFrame(_NAMES, "id int, t string")
+    return df.select("id", T.strip_accents(F.col("t")).alias("kept_case"), T.normal_name(F.col("t")).alias("normal"))
+
+
+@query(
+    "running_headers_dropped",
+    f"""WITH s AS ({_SECTIONS_SQL}), l AS (SELECT DISTINCT doc_id, section, {_STRIP.format('line')} AS line FROM (SELECT doc_id, section, unnest(string_split(content, chr(10))) AS line FROM s)),
+f AS (SELECT doc_id, line FROM l WHERE length(line) > 3 AND length(line) < 120 GROUP BY ALL HAVING count(*) >= 3), g AS (SELECT doc_id, list(line) AS fs FROM f GROUP BY 1)
+SELECT doc_id, section::BIGINT AS section, md5(coalesce(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT list_contains(coalesce(fs, []), {_STRIP.format('x')})), chr(10)), '')) AS digest FROM s LEFT JOIN g USING (doc_id)""",
+)
+def running_headers_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section without its document's running headers."""
+    sections = pseudo_sections(table(spark, sf_dir, "documents"))
+    furniture = running_headers(sections).groupBy("doc_id").agg(F.collect_list("line").alias("furniture"))
+    none = F.array().cast("array<string>")
+    kept = T.drop_lines(F.col("content"), F.coalesce("furniture", none))
+    return sections.join(furniture, "doc_id", "left").select("doc_id", F.col("section").cast("long").alias("section"), F.md5(kept).alias("digest"))
 
 
 @query("exact_duplicate_docs", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1")
@@ -185,17 +212,17 @@ def search_recent_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "norm_text_and_escape",
     f"""SELECT doc_id, md5({_STRIP.format("regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')")}) AS normal,
-  md5(regexp_replace(substr(text, 1, 300), '([+\\-&|!(){{}}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g')) AS escaped,
-  md5(lower(regexp_replace(substr(text, 1, 100), '[-_\\s]', '', 'g'))) AS entity FROM documents""",
+  md5(regexp_replace(text, '([+\\-&|!(){{}}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g')) AS escaped,
+  md5(lower(regexp_replace(text, '[-_\\s]', '', 'g'))) AS entity FROM documents""",
 )
 def norm_text_and_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.squeeze(c)).alias("normal"), F.md5(T.escape_query(F.substring(c, 1, 300))).alias("escaped"), F.md5(T.entity_key(F.substring(c, 1, 100))).alias("entity"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.squeeze(c)).alias("normal"), F.md5(T.escape_query(c)).alias("escaped"), F.md5(T.entity_key(c)).alias("entity"))
 
 
-@query("accent_strip", f"SELECT doc_id, md5({_STRIP.format(chr(0)).replace(chr(0), 'regexp_replace(lower(strip_accents(substr(text, 1, 500))), $$[ \\t\\n\\r\\f\\v]+$$, $$ $$, $$g$$)')}) AS normal FROM documents")
+@query("accent_strip", f"SELECT doc_id, md5({_STRIP.format(chr(0)).replace(chr(0), 'regexp_replace(lower(strip_accents(text)), $$[ \\t\\n\\r\\f\\v]+$$, $$ $$, $$g$$)')}) AS normal FROM documents")
 def accent_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normal_name(F.substring("text", 1, 500))).alias("normal"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normal_name(F.col("text"))).alias("normal"))
 
 
 @query(

@@ -6,10 +6,18 @@ written out.  Python's strip() removes all white space, so trimming is a regex.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+#: What a regular expression's \\s is.
+SPACES = " \t\n\x0b\x0c\r"
 
 # The characters that OCR confuses, and what they stand for.
 OCR_FROM = "ēōāūǎǔǒīĒŌĀŪǍǓǑĪ"
@@ -29,7 +37,7 @@ LONE_EMAIL = r"(?m)^[\t ]*[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+[\t ]*$
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -41,14 +49,34 @@ def fix_ocr_diacritics(c: Column) -> Column:
     return F.translate(c, OCR_FROM, OCR_TO)
 
 
+def _where(c: Column, marks: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """The text changed where one of the strings stands in its lower case: a plain search spares most texts the pattern.
+
+    The text and its lower case are bound once, so that chains of such steps stay as long as they are.
+    """
+
+    def one(text: Column) -> Column:
+        found = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda x, m: x | F.contains(low, F.lit(m)), marks[1:], F.contains(low, F.lit(marks[0]))))
+        return F.when(found, change(text)).otherwise(text)
+
+    return F.transform(F.array(c), one)[0]
+
+
+@F.pandas_udf(StringType())
+def compose(texts: pd.Series) -> pd.Series:
+    """Canonical composition (NFC) of whole texts."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def normalize_unicode(c: Column) -> Column:
-    """Confused diacritics, ligatures, quotes and invisible characters, for text in composed form."""
-    expanded = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), LIGATURES.items(), fix_ocr_diacritics(c))
-    return F.regexp_replace(F.translate(expanded, QUOTES_FROM, QUOTES_TO), INVISIBLE, "")
+    """Confused diacritics, ligatures, quotes and invisible characters, for text in composed form (see :func:`compose`)."""
+    plain = F.translate(c, OCR_FROM + QUOTES_FROM, OCR_TO + QUOTES_TO)
+    expanded = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), LIGATURES.items(), plain)
+    return F.regexp_replace(expanded, INVISIBLE, "")
 
 
 def dehyphenate(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\p{L}\p{N}_])-\n\s*([\p{L}\p{N}_])", "$1$2")
+    return _where(c, ("-\n",), lambda x: F.regexp_replace(x, r"([\p{L}\p{N}_])-\n\s*([\p{L}\p{N}_])", "$1$2"))
 
 
 def remove_artifacts(c: Column, aggressive: bool = False) -> Column:
@@ -58,15 +86,23 @@ def remove_artifacts(c: Column, aggressive: bool = False) -> Column:
     return F.replace(joined, F.lit("\t"), F.lit(" "))
 
 
+#: What a line of each kind of furniture holds at least.
+_SIGNS = {COPYRIGHT: ("©", "copyright", "reserved", "permission", "licensed", "creative"), PREPRINT: ("preprint", "review", "submitted", "arxiv:", "draft", "confidential"), LONE_URL: ("http",), LONE_EMAIL: ("@",)}
+
+
 def remove_boilerplate(c: Column, aggressive: bool = False) -> Column:
     patterns = [PAGE_NUMBER, COPYRIGHT, PREPRINT, *([LONE_URL, LONE_EMAIL] if aggressive else [])]
-    return reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, c)
+
+    def without(x: Column, p: str) -> Column:
+        return _where(x, _SIGNS[p], lambda y: F.regexp_replace(y, p, "")) if p in _SIGNS else F.regexp_replace(x, p, "")
+
+    return reduce(without, patterns, c)
 
 
 def normalize_whitespace(c: Column, multiline: bool = True) -> Column:
-    out = F.regexp_replace(c, r"[ \t]{2,}", " ")
+    out = F.regexp_replace(c, r"[ \t][ \t]+", " ")
     if multiline:
-        out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+        out = _where(out, ("\n\n\n",), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
     return strip(out)
 
 
@@ -136,25 +172,57 @@ def mojibake_ratio(c: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), share("[ÃÂÐÑ�]") + 2.2 * excess)).otherwise(0.0)
 
 
-def noisy_token(t: Column) -> Column:
+# What is taken off both ends of a token, wrongly decoded letters, and vowels of a word's lower case.
+_EDGES = ".,;:!?\"'()[]{}<>|`~"
+_WRONG = re.compile("[ÃÂÐÑ�]")
+_VOWEL = re.compile("[aeiouyàáâãäåèéêëìíîïòóôõöùúûüýăđơưạ-ỹ]")
+_LATIN1 = re.compile("[À-ÿ]")
+_BREAKS = re.compile(f"[{SPACES}]+")
+
+
+def _noisy(token: str) -> bool:
     """Looks like an OCR or encoding error."""
-    bare = F.btrim(t, F.lit(".,;:!?\"'()[]{}<>|`~"))
-    n = F.length(bare)
-    letters = n - F.length(F.regexp_replace(bare, r"\p{L}", ""))
-    digits = n - F.length(F.regexp_replace(bare, r"\p{N}", ""))
-    latin1 = n - F.length(F.regexp_replace(bare, "[À-ÿ]", ""))
-    plain = F.regexp_replace(F.lower(bare), "[àáâãäåèéêëìíîïòóôõöùúûüýăđơưạ-ỹ]", "a")
-    silent = (n >= 8) & ~plain.rlike("[aeiouy]")
-    return (n > 0) & (bare.rlike("[ÃÂÐÑ�]") | (latin1 >= 2) | ((letters > 0) & (((n - letters - digits) / n > 0.35) | silent)))
+    bare = token.strip(_EDGES)
+    n = len(bare)
+    if not n:
+        return False
+    if _WRONG.search(bare) or len(_LATIN1.findall(bare)) >= 2:
+        return True
+    letters = sum(map(str.isalpha, bare))
+    if not letters:
+        return False
+    digits = sum(unicodedata.category(x)[0] == "N" for x in bare)
+    return (n - letters - digits) / n > 0.35 or (n >= 8 and not _VOWEL.search(bare.lower()))
+
 
+#: Judged tokens that a worker keeps; a bound on memory only.
+_JUDGED_MOST = 200_000
+_judged: dict[str, bool] = {}
 
-def noisy_ratio(c: Column) -> Column:
-    found = F.filter(F.split(c, r"\s+"), lambda t: t != "")
-    return F.when(F.size(found) > 0, F.size(F.filter(found, noisy_token)) / F.size(found)).otherwise(0.0)
 
+@F.pandas_udf(DoubleType())
+def noisy_ratio(texts: pd.Series) -> pd.Series:
+    """Share of tokens that look like errors; each distinct token is judged once."""
 
-def ocr_score(c: Column) -> Column:
-    return 0.7 * mojibake_ratio(c) + 0.3 * noisy_ratio(c)
+    def share(text: str | None) -> float | None:
+        if text is None:
+            return None
+        found = [t for t in _BREAKS.split(text) if t]
+        bad = 0
+        for t in found:
+            known = _judged.get(t)
+            if known is None:
+                if len(_judged) >= _JUDGED_MOST:
+                    _judged.clear()
+                known = _judged[t] = _noisy(t)
+            bad += known
+        return bad / len(found) if found else 0.0
+
+    return texts.map(share).astype("float64")
+
+
+def ocr_score(mojibake: Column, noisy: Column) -> Column:
+    return 0.7 * mojibake + 0.3 * noisy
 
 
 def escape_query(c: Column) -> Column:
@@ -166,13 +234,27 @@ def entity_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[-_\s]", ""))
 
 
-# Latin letters with marks and their bases, for names in composed form.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_BASES = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _bases() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is one other character, or several; marks map to nothing."""
+    one, more = {}, {}
+    for code in [*range(0xA0, 0x370), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07)]:
+        char = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
+        if unicodedata.combining(char) or (base != char and len(base) == 1):
+            one[char] = base
+        elif base != char and base.strip() == base and len(base) > 1 and base.isalpha():
+            more[char] = base
+    return one, more
+
+
+_ONE, _MORE = _bases()
+_MARKED = "".join(sorted(_ONE, key=lambda x: not _ONE[x]))  # those that map to nothing last
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, _MARKED, _BASES)
+    """Latin, Greek and Vietnamese letters without their marks; loose marks go, ligatures are written out."""
+    plain = F.translate(c, _MARKED, "".join(_ONE[x] for x in _MARKED))
+    return F.when(c.rlike(f"[{''.join(_MORE)}]"), reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), _MORE.items(), plain)).otherwise(plain)
 
 
 def normal_name(c: Column) -> Column:

@@ -107,9 +107,9 @@ def group_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(10)
 
 
-@query("user_dashboard_join", "SELECT o_custkey AS user_id, count(*)::BIGINT AS summaries FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1")
+@query("user_dashboard_join", "SELECT o_custkey AS user_id, count(*)::BIGINT AS summaries FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def user_dashboard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = table(spark, sf_dir, "orders").where("o_custkey < 100").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    mine = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return lines.join(mine, "o_orderkey").groupBy("user_id").agg(F.count("*").alias("summaries"))
 
@@ -226,11 +226,12 @@ def train_val_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", F.when(F.col("q") <= 0.7, "train").when(F.col("q") <= 0.85, "val").otherwise("test").alias("split"))
 
 
-@query("owner_join", "SELECT e.event_id AS job_id, o.o_orderkey AS doc_id FROM events e JOIN orders o ON e.event_id = o.o_orderkey WHERE o.o_custkey % 10 = 3 AND e.event_type = 'view'")
+@query("owner_join", "SELECT e.event_id AS job_id, o.o_orderkey AS doc_id, o.o_custkey AS owner FROM events e JOIN orders o ON e.event_id = o.o_orderkey")
 def owner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("event_id").alias("job_id"))
-    mine = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("doc_id"))
-    return jobs.join(mine, F.col("job_id") == F.col("doc_id")).select("job_id", "doc_id")
+    """Every job with its document's owner."""
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("owner"))
+    return jobs.join(docs, F.col("job_id") == F.col("doc_id")).select("job_id", "doc_id", "owner")
 
 
 @query("visible_semi", f"SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM {DOCS} WHERE NOT is_deleted AND user_id = 2)")
@@ -262,9 +263,9 @@ def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("chunks"))
 
 
-@query("ordered_chunks", "SELECT l_orderkey AS doc_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS chunks FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+@query("ordered_chunks", "SELECT l_orderkey AS doc_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS chunks FROM lineitem GROUP BY 1")
 def ordered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey")
     packed = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c"))
     return packed.select("doc_id", F.array_join(F.transform("c", lambda x: x.l_partkey.cast("string")), ",").alias("chunks"))
 

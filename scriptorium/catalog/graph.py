@@ -106,22 +106,55 @@ _BATCH = "SELECT l_orderkey AS paper, l_partkey AS target, l_linenumber AS line,
 
 @query(
     "upsert_concept_edges",
-    f"WITH b AS ({_BATCH}) SELECT paper, target, max(confidence) AS confidence, arg_max(line, (confidence, -(line % 2), line)) AS evidence FROM b WHERE paper % 4 < 3 GROUP BY ALL",
+    f"WITH b AS ({_BATCH}) SELECT paper, target, max(confidence) AS confidence, arg_max(line, (confidence, -(line % 2), line)) AS evidence FROM b GROUP BY ALL",
 )
 def upsert_concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 < 3").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("evidence"), (1 - F.col("l_discount")).alias("confidence"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("evidence"), (1 - F.col("l_discount")).alias("confidence"))
     return G.upsert_best(lines.where("evidence % 2 = 0"), lines.where("evidence % 2 = 1"), ["paper", "target"], "confidence", ["evidence"])
 
 
-@query("upsert_metric_edges", "SELECT l_orderkey AS paper, l_returnflag AS metric, l_linestatus AS measured_on, max(l_extendedprice) AS value, arg_max(l_suppkey, (l_extendedprice, l_suppkey)) AS measured_by FROM lineitem GROUP BY ALL")
+@query("upsert_metric_edges", "SELECT l_orderkey AS paper, l_returnflag AS metric, l_linestatus AS measured_on, l_suppkey AS measured_by, max(l_extendedprice) AS value, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'stored' ELSE 'new' END, (l_extendedprice, l_linenumber % 2 = 0)) AS seen FROM lineitem GROUP BY ALL")
 def upsert_metric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("measured_on"), F.col("l_extendedprice").alias("value"), F.col("l_suppkey").alias("measured_by"))
-    return G.upsert_best(m, m.limit(0), ["paper", "metric", "measured_on"], "value", ["measured_by"])
+    """The even lines are stored; the odd ones come as a batch and win only with a higher value."""
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("measured_on"), F.col("l_suppkey").alias("measured_by"), F.col("l_extendedprice").alias("value"), "l_linenumber")
+    old, new = m.where("l_linenumber % 2 = 0").withColumn("seen", F.lit("stored")), m.where("l_linenumber % 2 = 1").withColumn("seen", F.lit("new"))
+    return G.upsert_best(old, new, ["paper", "metric", "measured_on", "measured_by"], "value", ["seen"])
 
 
-@query("upsert_topics", "SELECT DISTINCT p_partkey AS paper, t AS topic FROM (SELECT p_partkey, lower(trim(unnest(string_split(p_type, ' ')))) AS t FROM part) WHERE t <> ''")
+@query(
+    "paper_merge_by_title_year",
+    """WITH o AS (SELECT 'T' || o_orderkey % 700 AS title, CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate) ELSE 0 END AS year, min(o_orderkey) AS id, min_by('old' || o_orderkey, o_orderkey) AS abstract FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+n AS (SELECT 'T' || o_orderkey % 700 AS title, CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate) ELSE 0 END AS year, min(o_orderkey) AS id, min_by('new' || o_orderkey, o_orderkey) AS abstract FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL)
+SELECT title, year::BIGINT AS year, coalesce(o.id, n.id) AS id, coalesce(o.abstract, n.abstract) AS abstract FROM o FULL JOIN n USING (title, year)""",
+)
+def paper_merge_by_title_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is title and year, an unknown year being 0; what is stored stays."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("T"), F.col("o_orderkey") % 700).alias("title"), F.when(F.col("o_orderkey") % 5 > 0, F.year("o_orderdate")).alias("year"))
+    keyed = rows.withColumn("year", F.coalesce("year", F.lit(0)).cast("long"))
+
+    def side(where: str, mark: str) -> DataFrame:
+        return keyed.where(where).groupBy("title", "year").agg(F.min("id").alias("id")).withColumn("abstract", F.concat(F.lit(mark), "id"))
+
+    return G.upsert_fill(side("id % 3 = 0", "old"), side("id % 3 <> 0", "new"), ["title", "year"], [], ["id", "abstract"])
+
+
+@query(
+    "upsert_topics",
+    """WITH t AS (SELECT DISTINCT p_partkey AS paper, lower(trim(x)) AS topic, lo FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS x, 'stored' AS lo FROM part WHERE p_partkey % 3 <> 1 UNION ALL SELECT p_partkey, unnest(string_split(p_type || ' ' || p_name, ' ')), 'batch' FROM part WHERE p_partkey % 2 = 0) WHERE trim(x) <> '')
+SELECT paper, topic, min(lo) AS source FROM t GROUP BY ALL""",
+)
 def upsert_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper"), F.explode(F.split("p_type", " ")).alias("t")).select("paper", F.lower(F.trim("t")).alias("topic")).where("topic <> ''").distinct()
+    """Topics of a batch beside stored ones; an edge's source is the last to write it."""
+    part = table(spark, sf_dir, "part")
+
+    def topics(rows: DataFrame, text: str, source: str) -> DataFrame:
+        words = rows.select(F.col("p_partkey").alias("paper"), F.explode(F.split(F.expr(text), " ")).alias("t"))
+        return words.select("paper", F.lower(F.trim("t")).alias("topic")).where("topic <> ''").distinct().withColumn("source", F.lit(source))
+
+    old = topics(part.where("p_partkey % 3 <> 1"), "p_type", "stored")
+    new = topics(part.where("p_partkey % 2 = 0"), "concat(p_type, ' ', p_name)", "batch")
+    return G.upsert_fill(old, new, ["paper", "topic"], ["source"], [])
 
 
 @query(
@@ -148,20 +181,21 @@ def paper_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.upsert_fill(old, new, ["id"], ["title"], ["abstract"])
 
 
-_REFS = """r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE WHEN l_linenumber % 4 = 0 THEN l_partkey END AS doc_id, CASE WHEN l_linenumber % 4 = 1 THEN '10.1/' || l_suppkey END AS doi, 'T' || (l_partkey % 3000) AS title, CASE WHEN l_partkey % 2 = 0 THEN 1995 + l_partkey % 7 END AS year FROM lineitem WHERE l_orderkey % 20 = 0),
-p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || (o_orderkey % 1000) END AS doi, 'T' || (o_orderkey % 2000) AS title, CASE WHEN o_orderkey % 2 = 0 THEN 1995 + o_orderkey % 7 END AS year FROM orders WHERE o_orderkey < 2000)"""
+_REFS = """r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE WHEN l_linenumber % 4 = 0 THEN l_partkey END AS doc_id, CASE WHEN l_linenumber % 4 = 1 THEN '10.1/' || l_suppkey END AS doi, 'T' || (l_partkey % 3000) AS title, CASE WHEN l_partkey % 2 = 0 THEN 1995 + l_partkey % 7 END AS year FROM lineitem),
+p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || (o_orderkey % 1000) END AS doi, 'T' || (o_orderkey % 2000) AS title, CASE WHEN o_orderkey % 2 = 0 THEN 1995 + o_orderkey % 7 END AS year FROM orders)"""
 
 
 @query(
     "citation_resolution",
-    f"""WITH {_REFS} SELECT ref_id, coalesce((SELECT id FROM p WHERE p.id = r.doc_id), (SELECT min(id) FROM p WHERE p.doi = r.doi), (SELECT min(id) FROM p WHERE p.title = r.title AND coalesce(p.year, 0) = coalesce(r.year, 0)))::VARCHAR AS hit,
-CASE WHEN doc_id IN (SELECT id FROM p) OR doi IN (SELECT doi FROM p) THEN 1.0 WHEN EXISTS (SELECT 1 FROM p WHERE p.title = r.title AND coalesce(p.year, 0) = coalesce(r.year, 0)) THEN 0.8 ELSE 0.6 END AS confidence FROM r""",
+    f"""WITH {_REFS} SELECT ref_id, coalesce(a.id, d.id, t.id)::VARCHAR AS hit, CASE WHEN a.id IS NOT NULL OR d.id IS NOT NULL THEN 1.0 WHEN t.id IS NOT NULL THEN 0.8 ELSE 0.6 END AS confidence
+FROM r LEFT JOIN p a ON a.id = r.doc_id LEFT JOIN (SELECT doi, min(id) AS id FROM p WHERE doi IS NOT NULL GROUP BY 1) d ON d.doi = r.doi
+LEFT JOIN (SELECT title, coalesce(year, 0) AS year, min(id) AS id FROM p GROUP BY ALL) t ON t.title = r.title AND t.year = coalesce(r.year, 0)""",
 )
 def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    line = table(spark, sf_dir, "lineitem")
     year = F.when(F.col("l_partkey") % 2 == 0, 1995 + F.col("l_partkey") % 7)
     refs = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.when(F.col("l_linenumber") % 4 == 0, F.col("l_partkey")).alias("doc_id"), F.when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("10.1/"), "l_suppkey")).alias("doi"), F.concat(F.lit("T"), F.col("l_partkey") % 3000).alias("title"), year.alias("year"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     known = o.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("10.1/"), F.col("id") % 1000)).alias("doi"), F.concat(F.lit("T"), F.col("id") % 2000).alias("title"), F.when(F.col("id") % 2 == 0, 1995 + F.col("id") % 7).alias("year"))
     found = G.resolve(refs, known)
     return found.select("ref_id", F.when(~F.col("target").startswith("stub:"), F.col("target")).alias("hit"), "confidence")
@@ -182,12 +216,12 @@ def cycle_filtered_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hierarchy_reach",
-    with_sql("based_on") + """, up AS (SELECT src AS start, dst AS node, 1 AS hop FROM based_on WHERE src % 20 = 0 UNION SELECT start, b.dst, hop + 1 FROM up JOIN based_on b ON b.src = up.node WHERE hop < 3),
-down AS (SELECT dst AS start, src AS node, 1 AS hop FROM based_on WHERE dst % 20 = 0 AND dst > 0 UNION SELECT start, b.src, hop + 1 FROM down JOIN based_on b ON b.dst = down.node WHERE hop < 3)
+    with_sql("based_on") + """, up AS (SELECT src AS start, dst AS node, 1 AS hop FROM based_on UNION SELECT start, b.dst, hop + 1 FROM up JOIN based_on b ON b.src = up.node WHERE hop < 3),
+down AS (SELECT dst AS start, src AS node, 1 AS hop FROM based_on WHERE dst > 0 UNION SELECT start, b.src, hop + 1 FROM down JOIN based_on b ON b.dst = down.node WHERE hop < 3)
 SELECT start, node, round(sum(1.0 / (hop + 1)), 6) AS score FROM (SELECT * FROM up UNION ALL SELECT * FROM down) GROUP BY ALL""",
 )
 def hierarchy_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = table(spark, sf_dir, "part").where("p_partkey % 20 = 0 AND p_partkey > 0").select(F.col("p_partkey").alias("start"))
+    starts = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("start"))
     return G.hierarchy_scores(based_on(spark, sf_dir), starts).select("start", "node", F.round("score", 6).alias("score"))
 
 
@@ -252,16 +286,22 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst"), "kind")
 
 
-_SEEDS = "id % 500 = 0"
+_SEEDS = "id % 100 = 0"
 _W = {"shared_concept": 0.35, "shared_evidence": 0.20, "citation": 0.15, "hierarchy": 0.15, "author": 0.15}
 _CW = "CASE WHEN category IN ('method', 'model') THEN 1.2 WHEN category IN ('task', 'framework') THEN 1.0 ELSE 0.8 END"
 
-SQL["sig_concept"] = f"SELECT a.paper AS src, b.paper AS other, sum((a.confidence + b.confidence) / 2 * {_CW}) AS raw FROM uses a JOIN uses b USING (target) JOIN concepts c ON c.id = target JOIN papers p ON p.id = b.paper AND p.status = 'kg_built' WHERE a.paper % 500 = 0 AND a.paper <> b.paper GROUP BY ALL"
-SQL["sig_evidence"] = "SELECT a.paper AS src, b.paper AS other, sum((a.confidence + b.confidence) / 2) AS raw FROM evaluates a JOIN evaluates b USING (target) JOIN papers p ON p.id = b.paper AND p.status = 'kg_built' WHERE a.paper % 500 = 0 AND a.paper <> b.paper GROUP BY ALL"
-SQL["sig_citation"] = """SELECT src, other, sum(w) AS raw FROM (SELECT src, dst AS other, 1.0 AS w FROM cites WHERE src % 500 = 0 UNION ALL SELECT dst, src, 0.9 FROM cites WHERE dst % 500 = 0
-UNION ALL SELECT a.src, b.src, 0.7 FROM cites a JOIN cites b USING (dst) JOIN papers p ON p.id = b.src AND p.status = 'kg_built' WHERE a.src % 500 = 0 AND a.src <> b.src
-UNION ALL SELECT a.dst, b.dst, 0.6 FROM cites a JOIN cites b USING (src) JOIN papers p ON p.id = b.dst AND p.status = 'kg_built' WHERE a.dst % 500 = 0 AND a.dst <> b.dst) WHERE other IN (SELECT id FROM papers) GROUP BY ALL"""
-SQL["sig_author"] = "SELECT a.id AS src, b.id AS other, 1.0 AS raw FROM papers a JOIN papers b USING (author) WHERE a.id % 500 = 0 AND a.id <> b.id AND b.status = 'kg_built'"
+SQL["sig_concept"] = f"SELECT a.paper AS src, b.paper AS other, sum((a.confidence + b.confidence) / 2 * {_CW}) AS raw FROM uses a JOIN uses b USING (target) JOIN concepts c ON c.id = target JOIN papers p ON p.id = b.paper AND p.status = 'kg_built' WHERE a.paper % 100 = 0 AND a.paper <> b.paper GROUP BY ALL"
+KIND = {0: "benchmark", 1: "dataset", 2: "corpus", 3: "survey", 4: "census", 5: "other"}
+_KINDS = "CASE target % 6 WHEN 0 THEN 1.3 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.8 WHEN 4 THEN 0.8 ELSE 0.7 END"
+SQL["sig_evidence"] = f"SELECT a.paper AS src, b.paper AS other, sum((a.confidence + b.confidence) / 2 * {_KINDS}) AS raw FROM evaluates a JOIN evaluates b USING (target) JOIN papers p ON p.id = b.paper AND p.status = 'kg_built' WHERE a.paper % 100 = 0 AND a.paper <> b.paper GROUP BY ALL"
+SQL["sig_citation"] = """SELECT src, other, sum(w) AS raw FROM (SELECT src, dst AS other, 1.0 AS w FROM cites WHERE src % 100 = 0 UNION ALL SELECT dst, src, 0.9 FROM cites WHERE dst % 100 = 0
+UNION ALL SELECT a.src, b.src, 0.7 FROM cites a JOIN cites b USING (dst) JOIN papers p ON p.id = b.src AND p.status = 'kg_built' WHERE a.src % 100 = 0 AND a.src <> b.src
+UNION ALL SELECT a.dst, b.dst, 0.6 FROM cites a JOIN cites b USING (src) JOIN papers p ON p.id = b.dst AND p.status = 'kg_built' WHERE a.dst % 100 = 0 AND a.dst <> b.dst) WHERE other IN (SELECT id FROM papers) GROUP BY ALL"""
+SQL["same_author"] = "SELECT a.id AS src, b.id AS other, 1.0 AS raw FROM papers a JOIN papers b USING (author) WHERE a.id % 100 = 0 AND a.id <> b.id AND b.status = 'kg_built'"
+SQL["sig_author"] = "SELECT src, other, sum(raw) AS raw FROM (SELECT * FROM same_author UNION ALL SELECT a.id, b.id, 0.6 FROM papers a JOIN papers b ON a.author // 10 = b.author // 10 AND a.author <> b.author WHERE a.id % 100 = 0 AND b.status = 'kg_built') GROUP BY ALL"
+SQL["lineage"] = "SELECT src AS child, dst AS parent, 1 AS hop FROM based_on UNION SELECT a.src, b.dst, 2 FROM based_on a JOIN based_on b ON b.src = a.dst"
+SQL["sig_hierarchy"] = """SELECT src, other, sum(1.0 / (hop + 1)) AS raw FROM (SELECT DISTINCT a.paper AS src, b.paper AS other, hop, 'up' AS way FROM uses a JOIN lineage ON child = a.target JOIN uses b ON b.target = parent WHERE a.paper % 100 = 0 AND a.paper <> b.paper
+UNION ALL SELECT DISTINCT a.paper, b.paper, hop, 'down' FROM uses a JOIN lineage ON parent = a.target JOIN uses b ON b.target = child WHERE a.paper % 100 = 0 AND a.paper <> b.paper) JOIN papers p ON p.id = other AND p.status = 'kg_built' GROUP BY ALL"""
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +320,9 @@ def sig_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sig_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.co_occurrence(evaluates(spark, sf_dir), seeds(spark, sf_dir), (F.col("confidence") + F.col("a_confidence")) / 2).join(built(spark, sf_dir), "other", "left_semi")
+    kinds = F.create_map(*[x for n, kind in KIND.items() for x in (F.lit(n), F.lit(kind))])
+    weighed = evaluates(spark, sf_dir).withColumn("w", G.evidence_weight(kinds[(F.col("target") % 6).cast("int")]))
+    return G.co_occurrence(weighed, seeds(spark, sf_dir), (F.col("confidence") + F.col("a_confidence")) / 2 * F.col("w")).join(built(spark, sf_dir), "other", "left_semi")
 
 
 def sig_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,13 +336,27 @@ def sig_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.join(known, "other", "left_semi").select("src", "other", "w").unionByName(shared).groupBy("src", "other").agg(F.sum("w").alias("raw"))
 
 
-def sig_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+def same_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     mine = p.where(_SEEDS).select(F.col("id").alias("src"), "author")
     others = p.where("status = 'kg_built'").select(F.col("id").alias("other"), "author")
     return mine.join(others, "author").where("src <> other").select("src", "other", F.lit(1.0).alias("raw"))
 
 
+def sig_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1.0 for a shared author, 0.6 for another author of the same institution (ten authors each here)."""
+    p = papers(spark, sf_dir).withColumn("place", F.expr("author div 10"))
+    mine = p.where(_SEEDS).select(F.col("id").alias("src"), F.col("author").alias("me"), "place")
+    near = p.where("status = 'kg_built'").select(F.col("id").alias("other"), "author", "place")
+    colleagues = mine.join(near, "place").where("author <> me").select("src", "other", F.lit(0.6).alias("raw"))
+    return same_author(spark, sf_dir).unionByName(colleagues).groupBy("src", "other").agg(F.sum("raw").alias("raw"))
+
+
+def sig_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers on concepts up to two steps above or below a paper's own, each hop once a direction."""
+    return G.hierarchy_signal(uses(spark, sf_dir).select("paper", "target"), based_on(spark, sf_dir), seeds(spark, sf_dir), 2).join(built(spark, sf_dir), "other", "left_semi")
+
+
 def _signal(name: str, fn, needs: tuple[str, ...], key: str) -> None:
     @query(name, with_sql(*needs, key) + f"SELECT src, other, round(raw, 5) AS raw FROM {key}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,19 +366,22 @@ def _signal(name: str, fn, needs: tuple[str, ...], key: str) -> None:
 _signal("sig_shared_concept", sig_concept, ("papers", "concepts", "uses"), "sig_concept")
 _signal("sig_shared_evidence", sig_evidence, ("papers", "evaluates"), "sig_evidence")
 _signal("sig_citation", sig_citation, ("papers", "cites"), "sig_citation")
-_signal("sig_author", sig_author, ("papers",), "sig_author")
+_signal("sig_author", sig_author, ("papers", "same_author"), "sig_author")
+_signal("sig_hierarchy", sig_hierarchy, ("papers", "uses", "based_on", "lineage"), "sig_hierarchy")
+
+_ALL = ("papers", "concepts", "uses", "evaluates", "cites", "based_on", "lineage", "same_author", "sig_concept", "sig_evidence", "sig_citation", "sig_author", "sig_hierarchy")
+
 
-_ALL = ("papers", "concepts", "uses", "evaluates", "cites", "sig_concept", "sig_evidence", "sig_citation", "sig_author")
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name, fn in (("shared_concept", sig_concept), ("shared_evidence", sig_evidence), ("citation", sig_citation), ("author", sig_author)):
+    for name, fn in (("shared_concept", sig_concept), ("shared_evidence", sig_evidence), ("citation", sig_citation), ("hierarchy", sig_hierarchy), ("author", sig_author)):
         s = fn(spark, sf_dir).select("src", "other", F.lit(name).alias("signal"), "raw")
         out = s if out is None else out.unionByName(s)
     return out
 
 
 _TOP = with_sql(*_ALL) + """, n AS (SELECT src, other, 0.35 * raw / max(raw) OVER (PARTITION BY src) AS v FROM sig_concept UNION ALL SELECT src, other, 0.20 * raw / max(raw) OVER (PARTITION BY src) FROM sig_evidence
-UNION ALL SELECT src, other, 0.15 * raw / max(raw) OVER (PARTITION BY src) FROM sig_citation UNION ALL SELECT src, other, 0.15 * raw / max(raw) OVER (PARTITION BY src) FROM sig_author),
+UNION ALL SELECT src, other, 0.15 * raw / max(raw) OVER (PARTITION BY src) FROM sig_citation UNION ALL SELECT src, other, 0.15 * raw / max(raw) OVER (PARTITION BY src) FROM sig_author UNION ALL SELECT src, other, 0.15 * raw / max(raw) OVER (PARTITION BY src) FROM sig_hierarchy),
 t AS (SELECT src, other, round(sum(v), 6) AS score FROM n GROUP BY ALL), r AS (SELECT src, other, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, other)::BIGINT AS rank FROM t WHERE score >= 0.05) """
 
 
@@ -332,9 +391,9 @@ def recommend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query("recommend_by_author", with_sql("papers", "sig_author") + "SELECT src, other, rank FROM (SELECT src, other, row_number() OVER (PARTITION BY src ORDER BY year DESC, other)::BIGINT AS rank FROM sig_author JOIN papers ON id = other) WHERE rank <= 5")
+@query("recommend_by_author", with_sql("papers", "same_author") + "SELECT src, other, rank FROM (SELECT src, other, row_number() OVER (PARTITION BY src ORDER BY year DESC, other)::BIGINT AS rank FROM same_author JOIN papers ON id = other) WHERE rank <= 5")
 def recommend_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sig_author(spark, sf_dir).join(papers(spark, sf_dir).select(F.col("id").alias("other"), "year"), "other")
+    s = same_author(spark, sf_dir).join(papers(spark, sf_dir).select(F.col("id").alias("other"), "year"), "other")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("year"), "other")).cast("long")).where("rank <= 5").select("src", "other", "rank")
 
 
@@ -345,61 +404,89 @@ def recommend_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.orderBy(F.desc("cited"), F.desc("year"), "id").limit(20).select("id", "cited")
 
 
-@query("recommend_entity", with_sql("papers", "uses", "concepts") + "SELECT u.paper AS id, count(*)::BIGINT AS hits FROM uses u JOIN concepts c ON c.id = target JOIN papers p ON p.id = u.paper WHERE category = 'method' AND name LIKE '%a%' AND u.paper % 10 = 0 GROUP BY 1")
+@query("recommend_entity", with_sql("papers", "uses", "concepts") + "SELECT u.paper AS id, count(*)::BIGINT AS hits FROM uses u JOIN concepts c ON c.id = target JOIN papers p ON p.id = u.paper WHERE category = 'method' AND name LIKE '%a%' GROUP BY 1")
 def recommend_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = concepts(spark, sf_dir).where("category = 'method' AND name LIKE '%a%'").select(F.col("id").alias("target"))
-    u = uses(spark, sf_dir).where("paper % 10 = 0").join(c, "target", "left_semi").select(F.col("paper").alias("id"))
+    u = uses(spark, sf_dir).join(c, "target", "left_semi").select(F.col("paper").alias("id"))
     return u.join(papers(spark, sf_dir).select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("hits"))
 
 
-_TIERS = "t AS (SELECT src, other, 1 AS tier, raw AS score FROM sig_author WHERE src % 1000 = 0 UNION ALL SELECT src, other, 2, raw FROM sig_citation)"
+_TIERS = """methods AS (SELECT paper, target FROM uses JOIN concepts c ON c.id = target WHERE category = 'method'), entity AS (SELECT s.src, s.other, count(*)::DOUBLE AS score FROM same_author s JOIN methods a ON a.paper = s.src JOIN methods b ON b.paper = s.other AND b.target = a.target GROUP BY ALL),
+t AS (SELECT src, other, 1 AS tier, score FROM entity UNION ALL SELECT src, other, 2, raw FROM same_author UNION ALL SELECT src, other, 3, raw FROM sig_citation)"""
 
 
 @query(
     "recommend_tiered",
-    with_sql("papers", "cites", "sig_citation", "sig_author") + f", {_TIERS} SELECT src, other, tier, round(max(score), 6) AS score FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.src = t.src) GROUP BY ALL",
+    with_sql("papers", "uses", "concepts", "cites", "same_author", "sig_citation") + f", {_TIERS} SELECT src, other, tier, round(max(score), 6) AS score FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.src = t.src) GROUP BY ALL",
 )
 def recommend_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tier that has anything for a source; one row per title with its best score."""
-    a = sig_author(spark, sf_dir).where("src % 1000 = 0").select("src", "other", F.lit(1).alias("tier"), F.col("raw").alias("score"))
-    t = a.unionByName(sig_citation(spark, sf_dir).select("src", "other", F.lit(2).alias("tier"), F.col("raw").alias("score")))
+    """The first tier that has anything for a source: shared author and method, shared author, citations; one row per paper with its best score."""
+    same = same_author(spark, sf_dir)
+    method = concepts(spark, sf_dir).where("category = 'method'").select(F.col("id").alias("target"))
+    used = uses(spark, sf_dir).select("paper", "target").join(method, "target", "left_semi")
+    entity = same.join(used.select(F.col("paper").alias("src"), "target"), "src").join(used.select(F.col("paper").alias("other"), "target"), ["other", "target"]).groupBy("src", "other").agg(F.count("*").cast("double").alias("score"))
+    tiers = [entity, same.select("src", "other", F.col("raw").alias("score")), sig_citation(spark, sf_dir).select("src", "other", F.col("raw").alias("score"))]
+    t = None
+    for n, rows in enumerate(tiers, 1):
+        rows = rows.select("src", "other", F.lit(n).alias("tier"), "score")
+        t = rows if t is None else t.unionByName(rows)
     first = t.groupBy("src").agg(F.min("tier").alias("tier"))
     return t.join(first, ["src", "tier"]).groupBy("src", "other", "tier").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 @query(
     "recommend_metadata_overlap",
-    """WITH k AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1)
-SELECT a.id AS src, b.id AS other, round(0.65 * count(*) / any_value(na.n), 6) AS score FROM k a JOIN k b USING (w) JOIN n na ON na.id = a.id WHERE a.id % 200 = 1 AND a.id <> b.id GROUP BY ALL""",
+    """WITH k AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1),
+u AS (SELECT DISTINCT p_partkey AS id, unnest([p_brand, 'size' || p_size]) AS w FROM part), s AS (SELECT a.id AS src, b.id AS other, 0.65 / na.n AS v FROM k a JOIN k b USING (w) JOIN n na ON na.id = a.id WHERE a.id % 100 = 0
+UNION ALL SELECT a.id, b.id, 0.35 / 2 FROM u a JOIN u b USING (w) WHERE a.id % 100 = 0) SELECT src, other, round(sum(v), 6) AS score FROM s WHERE src <> other GROUP BY ALL""",
 )
 def recommend_metadata_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword overlap through an equi-join on the keyword, never all pairs."""
-    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))).alias("w"))
-    mine = words.where("id % 200 = 1")
-    size = mine.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"))
-    shared = mine.select(F.col("id").alias("src"), "w").join(words.select(F.col("id").alias("other"), "w"), "w").where("src <> other").groupBy("src", "other").agg(F.count("*").alias("c"))
-    return shared.join(size, "src").select("src", "other", F.round(0.65 * F.col("c") / F.col("n"), 6).alias("score"))
+    """0.65 times the shared part of the keywords and 0.35 times that of the authors, through equi-joins, never all pairs."""
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " "))).alias("w"))
+    authors = part.select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.array("p_brand", F.concat(F.lit("size"), "p_size")))).alias("w"))
+
+    def overlap(sets: DataFrame, weight: float) -> DataFrame:
+        mine = sets.where("id % 100 = 0")
+        size = mine.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("n"))
+        shared = mine.select(F.col("id").alias("src"), "w").join(sets.select(F.col("id").alias("other"), "w"), "w").where("src <> other").groupBy("src", "other").agg(F.count("*").alias("c"))
+        return shared.join(size, "src").select("src", "other", (weight * F.col("c") / F.col("n")).alias("v"))
 
+    both = overlap(words, 0.65).unionByName(overlap(authors, 0.35))
+    return both.groupBy("src", "other").agg(F.round(F.sum("v"), 6).alias("score"))
 
-@query("recommend_enriched", with_sql("papers", "uses", "sig_author") + "SELECT s.src, s.other, coalesce(string_agg(b.target::VARCHAR, ',' ORDER BY b.target), '') AS shared FROM sig_author s LEFT JOIN (SELECT a.paper AS src, b.paper AS other, b.target FROM uses a JOIN uses b USING (target)  WHERE a.paper % 500 = 0) b ON b.src = s.src AND b.other = s.other GROUP BY ALL")
+
+@query("recommend_enriched", with_sql("papers", "uses", "same_author") + "SELECT s.src, s.other, coalesce(string_agg(b.target::VARCHAR, ',' ORDER BY b.target), '') AS shared FROM same_author s LEFT JOIN (SELECT a.paper AS src, b.paper AS other, b.target FROM uses a JOIN uses b USING (target)  WHERE a.paper % 100 = 0) b ON b.src = s.src AND b.other = s.other GROUP BY ALL")
 def recommend_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sig_author(spark, sf_dir).select("src", "other")
+    s = same_author(spark, sf_dir).select("src", "other")
     u = uses(spark, sf_dir)
     shared = s.join(u.select(F.col("paper").alias("src"), "target"), "src").join(u.select(F.col("paper").alias("other"), "target"), ["other", "target"])
     lists = shared.groupBy("src", "other").agg(F.array_join(F.transform(F.array_sort(F.collect_list("target")), lambda x: x.cast("string")), ",").alias("shared"))
     return s.join(lists, ["src", "other"], "left").select("src", "other", F.coalesce("shared", F.lit("")).alias("shared"))
 
 
+_BOOSTS = "CASE target % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 0.10 WHEN 2 THEN 0.05 WHEN 3 THEN 0.02 ELSE 0.0 END"
+
+
 @query(
     "graph_context_chunks",
-    with_sql("uses", "concepts") + "SELECT name, category, round(least(1.0, confidence + 0.05 * (name LIKE '%a%')::INT + 0.05 * (name LIKE '%e%')::INT), 6) AS score FROM (SELECT target, max(confidence) AS confidence FROM uses WHERE paper % 1000 = 0 GROUP BY 1) JOIN concepts ON id = target WHERE confidence >= 0.3 ORDER BY score DESC, name, category LIMIT 10",
+    with_sql("uses", "evaluates", "concepts") + f""", n AS (SELECT 'Concept' AS kind, target, max(confidence) AS c FROM uses GROUP BY ALL UNION ALL SELECT 'Evidence', target, max(confidence) FROM evaluates GROUP BY ALL),
+t AS (SELECT kind, target, c, CASE WHEN kind = 'Concept' THEN (SELECT any_value(name) FROM concepts WHERE id = target) ELSE (SELECT any_value(s_name) FROM supplier WHERE s_suppkey = target) END AS name FROM n)
+SELECT kind, target, 'kind=' || kind || ' name=' || name AS text, round(least(1.0, 0.5 * c + least(0.2, 0.05 * ((contains(lower(name), 'al'))::INT + (contains(lower(name), 're'))::INT + (contains(lower(name), '1'))::INT)) + {_BOOSTS}), 6) AS score
+FROM t WHERE least(1.0, 0.5 * c + least(0.2, 0.05 * ((contains(lower(name), 'al'))::INT + (contains(lower(name), 're'))::INT + (contains(lower(name), '1'))::INT)) + {_BOOSTS}) >= 0.3 ORDER BY score DESC, kind, target LIMIT 50""",
 )
 def graph_context_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = uses(spark, sf_dir).where("paper % 1000 = 0").groupBy(F.col("target").alias("id")).agg(F.max("confidence").alias("confidence"))
-    words = F.array(F.lit("a"), F.lit("e"))
-    boost = F.least(F.lit(0.2), 0.05 * F.size(F.filter(words, lambda w: F.contains(F.col("name"), w))))
-    rows = best.where("confidence >= 0.3").join(concepts(spark, sf_dir), "id")
-    return rows.select("name", "category", F.round(F.least(F.lit(1.0), F.col("confidence") + boost), 6).alias("score")).orderBy(F.desc("score"), "name", "category").limit(10)
+    """Every concept and evidence with its best confidence, boosted by keywords in the name and by its section; top 50 as text."""
+    sections = F.create_map(*[F.lit(x) for pair in {0: "Method", 1: "experiments", 2: "abstract", 3: "Introduction", 4: "appendix"}.items() for x in pair])
+    rows = None
+    for kind, edges, names in (("Concept", uses(spark, sf_dir), concepts(spark, sf_dir).select(F.col("id").alias("target"), "name")), ("Evidence", evaluates(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_name").alias("name")))):
+        best = edges.groupBy("target").agg(F.max("confidence").alias("c")).join(names, "target").withColumn("kind", F.lit(kind))
+        rows = best if rows is None else rows.unionByName(best)
+    words = F.array(F.lit("al"), F.lit("re"), F.lit("1"))
+    score = G.chunk_score(0.5 * F.col("c"), F.col("name"), words, sections[(F.col("target") % 5).cast("int")])
+    text = F.concat(F.lit("kind="), "kind", F.lit(" name="), "name")
+    out = rows.select("kind", "target", text.alias("text"), F.round(score, 6).alias("score")).where("score >= 0.3")
+    return out.orderBy(F.desc("score"), "kind", "target").limit(50)
 
 
 @query("skip_built_and_claim", with_sql("papers") + "SELECT id, 'processing' AS status FROM papers WHERE status <> 'kg_built'")
@@ -408,8 +495,8 @@ def skip_built_and_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(p.where("status = 'kg_built'").select("id"), "id", "left_anti").select("id", F.lit("processing").alias("status"))
 
 
-@query("chunk_insert_if_absent", "SELECT l_orderkey AS doc_id, l_linenumber AS chunk, min(l_linenumber % 2 = 1) AS fresh FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL")
+@query("chunk_insert_if_absent", "SELECT l_orderkey AS doc_id, l_linenumber AS chunk, min(l_linenumber % 2 = 1) AS fresh FROM lineitem GROUP BY ALL")
 def chunk_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk")).distinct()
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk")).distinct()
     old = c.where("chunk % 2 = 0").withColumn("fresh", F.lit(False))
     return G.insert_absent(old, c.withColumn("fresh", F.lit(True)), ["doc_id", "chunk"])

@@ -81,16 +81,74 @@ def hierarchy_scores(edges: DataFrame, starts: DataFrame, depth: int = 3) -> Dat
     return up.unionByName(down).groupBy("start", "node").agg(F.sum(1 / (F.col("hop") + 1)).alias("score"))
 
 
+def hierarchy_signal(uses: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2) -> DataFrame:
+    """(src, other, raw): papers on concepts that ``edges`` (src, dst) lead to from a source's concepts, or from which they are led to.
+
+    uses: paper, target.  A hop counts 1 / (hop + 1), once for each other paper and direction.
+    """
+    mine = uses.join(sources.select(F.col("src").alias("paper")), "paper", "left_semi").select(F.col("paper").alias("src"), F.col("target").alias("start"))
+    starts = stored(mine.select("start").distinct(), "hierarchy_starts")
+    parts = []
+    for way in (edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))):
+        led = mine.join(reach(way, starts, depth), "start").select("src", F.col("node").alias("target"), "hop").distinct()
+        parts.append(led.join(uses, "target").select("src", F.col("paper").alias("other"), "hop").where("src <> other").distinct())
+    return parts[0].unionByName(parts[1]).groupBy("src", "other").agg(F.sum(1 / (F.col("hop") + 1)).alias("raw"))
+
+
+def evidence_weight(kind: Column) -> Column:
+    return F.when(kind == "benchmark", 1.3).when(kind.isin("dataset", "corpus"), 1.0).when(kind.isin("survey", "census"), 0.8).otherwise(0.7)
+
+
+# Section of a graph fact -> what its score gains; the first prefix that fits.
+SECTION_BOOST = {
+    "method": 0.15, "methodology": 0.15, "approach": 0.12, "experiment": 0.10, "evaluation": 0.10, "result": 0.08, "discussion": 0.07, "abstract": 0.05, "conclusion": 0.05,
+    "introduction": 0.02, "background": 0.02,
+}
+
+
+def section_boost(section: Column) -> Column:
+    low = F.trim(F.lower(F.coalesce(section, F.lit(""))))
+    out = F.lit(0.0)
+    for prefix in reversed(SECTION_BOOST):
+        out = F.when(low.startswith(prefix), SECTION_BOOST[prefix]).otherwise(out)
+    return out
+
+
+def chunk_score(base: Column, name: Column, keywords: Column, section: Column, aliases: Column | None = None) -> Column:
+    """A graph fact's score: its own, 0.05 for each keyword in its name or aliases (0.20 at most), and its section's; at most 1."""
+    text = F.lower(name) if aliases is None else F.concat_ws(" ", F.lower(name), F.transform(aliases, F.lower))
+    found = F.size(F.filter(keywords, lambda w: F.contains(text, F.lower(w))))
+    return F.least(F.lit(1.0), base + F.least(F.lit(0.2), 0.05 * found) + section_boost(section))
+
+
+def merge_nodes(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Nodes by ``key``: what is stored stays as it is, a new key gets the batch's first row by ``order``."""
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").select(*old.columns)
+    return insert_absent(old, first, [key])
+
+
+def merge_edges(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges by ``keys``: a batch overwrites the properties of the edges that it has (one row a key)."""
+    return new.select(*old.columns).unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+
+
 def neighbourhood(edges: DataFrame, node: Column, limit: int = 200) -> DataFrame:
     """(src, dst, kind) around one node, in a total order, at most ``limit``."""
     return edges.where((F.col("src") == node) | (F.col("dst") == node)).dropDuplicates(["src", "dst", "kind"]).orderBy("kind", "src", "dst").limit(limit)
 
 
-def accept_in_order(candidates: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Parent edges accepted by confidence (then name) so that no cycle arises, per ``group``.
+#: Candidates of a group that one task folds at most; more are first thinned by rounds of joins.
+FOLD_MOST = 10_000
+
+
+def accept_in_order(candidates: DataFrame) -> DataFrame:
+    """Parent edges accepted by confidence (then names) so that no cycle arises, per ``group``.
 
     candidates: group, src, dst, confidence.  A group's candidates are those of
-    one paper, a handful; they are folded in one task each.
+    one paper, a handful; they are folded in one task each.  Only edges inside a
+    cycle of the group's graph depend on the order: a group over FOLD_MOST first
+    sets aside, by rounds of joins, the edges whose end no edge leaves or whose
+    start no edge reaches, until what is left can be folded or no edge goes.
     """
     import pandas as pd
 
@@ -114,7 +172,23 @@ def accept_in_order(candidates: DataFrame, max_rounds: int = 100) -> DataFrame:
             keep.append(False)
         return frame[keep]
 
-    return candidates.groupBy("group").applyInPandas(fold, candidates.schema)
+    free = None
+    left = candidates
+    while True:
+        sizes = stored(left.groupBy("group").count().where(F.col("count") > FOLD_MOST), "large_groups")
+        if sizes.isEmpty():
+            break
+        large = left.join(sizes.select("group"), "group", "left_semi")
+        inner = large.join(large.select("group", F.col("src").alias("dst")).distinct(), ["group", "dst"], "left_semi").join(large.select("group", F.col("dst").alias("src")).distinct(), ["group", "src"], "left_semi")
+        inner = stored(inner.select(*candidates.columns), "inner_edges")
+        gone = large.count() - inner.count()
+        if not gone:
+            raise ValueError("a group has more candidates in cycles than one task may fold")
+        outer = stored(large.join(inner.select("group", "src", "dst").distinct(), ["group", "src", "dst"], "left_anti").select(*candidates.columns), "free_edges")
+        free = outer if free is None else free.unionByName(outer)
+        left = left.join(sizes.select("group"), "group", "left_anti").select(*candidates.columns).unionByName(inner)
+    folded = left.groupBy("group").applyInPandas(fold, candidates.schema)
+    return folded if free is None else folded.unionByName(free)
 
 
 def degree_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:

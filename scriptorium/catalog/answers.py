@@ -156,22 +156,28 @@ def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     return F.when(total > 0, 2.0 * shared / total).otherwise(0.0)
 
 
-@query(
-    "rouge_1_2",
+ROUGE_SQL = (
     "WITH q AS (" + _QA + "), " + ", ".join(
         f"{p}{n} AS (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '') AS w FROM q)) GROUP BY ALL)"
         for p, c in (("a", "answer"), ("b", "context")) for n in (1, 2)
     ) + ", " + ", ".join(
         f"s{n} AS (SELECT q.conv_id, q.turn, coalesce(m.n, 0) AS m, coalesce(x.n, 0) + coalesce(y.n, 0) AS t FROM q LEFT JOIN (SELECT a{n}.conv_id, a{n}.turn, sum(least(a{n}.n, b{n}.n)) AS n FROM a{n} JOIN b{n} USING (conv_id, turn, g) GROUP BY ALL) m USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, sum(n) AS n FROM a{n} GROUP BY ALL) x USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, sum(n) AS n FROM b{n} GROUP BY ALL) y USING (conv_id, turn))"
         for n in (1, 2)
-    ) + " SELECT conv_id, turn, round(CASE WHEN s1.t > 0 THEN 2.0 * s1.m / s1.t ELSE 0 END, 6) AS rouge_1, round(CASE WHEN s2.t > 0 THEN 2.0 * s2.m / s2.t ELSE 0 END, 6) AS rouge_2 FROM s1 JOIN s2 USING (conv_id, turn)",
+    ) + " SELECT conv_id, turn, round(CASE WHEN s1.t > 0 THEN 2.0 * s1.m / s1.t ELSE 0 END, 6) AS rouge_1, round(CASE WHEN s2.t > 0 THEN 2.0 * s2.m / s2.t ELSE 0 END, 6) AS rouge_2 FROM s1 JOIN s2 USING (conv_id, turn)"
 )
-def rouge_1_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = [F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "") for c in ("answer", "context")]
     q = _qa(spark, sf_dir).select("conv_id", "turn", words[0].alias("a"), words[1].alias("b"))
     return q.select("conv_id", "turn", *[F.round(rouge_n(F.col("a"), F.col("b"), n), 6).alias(f"rouge_{n}") for n in (1, 2)])
 
 
+@query("rouge_1_2", ROUGE_SQL)
+def rouge_1_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rouge_scores(spark, sf_dir)
+
+
 @query("rouge_l")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of the longest common subsequence; the subsequence is a per-row Arrow function."""

@@ -14,27 +14,30 @@ from scriptorium.operators import retrieval as V
 from scriptorium.registry import query
 
 from .base import table, values_sql
-from .graph import _W, _signals
+from .answers import ROUGE_SQL, rouge_scores
+from .graph import _TOP, _W, _signals
+from .retrieval import _features
 
 
-@query("support_edges_stub", "SELECT l_orderkey AS src, l_partkey + 100000000 AS dst, max(1 - l_tax) AS confidence, true AS stub FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL")
+@query("support_edges_stub", "SELECT l_orderkey AS src, l_partkey * 10 AS dst, max(1 - l_tax) AS confidence, NOT (l_partkey * 10 IN (SELECT o_orderkey FROM orders)) AS stub FROM lineitem GROUP BY ALL")
 def support_edges_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paper-to-paper edges whose targets are unknown get a stub target."""
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").groupBy(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst")).agg(F.max(1 - F.col("l_tax")).alias("confidence"))
+    """Paper-to-paper edges; targets that are unknown get a stub."""
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("src"), (F.col("l_partkey") * 10).alias("dst")).agg(F.max(1 - F.col("l_tax")).alias("confidence"))
     known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dst"), F.lit(False).alias("known"))
-    return e.join(known, "dst", "left").select("src", "dst", "confidence", F.coalesce(~F.col("known"), F.lit(True)).alias("stub"))
+    return e.join(known, "dst", "left").select("src", "dst", "confidence", F.coalesce(F.col("known"), F.lit(True)).alias("stub"))
 
 
 @query(
     "provenance_update",
     """WITH o AS (SELECT l_orderkey AS k, max(1 - l_discount) AS c FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1), n AS (SELECT l_orderkey AS k, max(1 - l_discount) AS c FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1)
-SELECT k, CASE WHEN n.c >= o.c THEN n.c ELSE o.c END AS confidence, CASE WHEN n.c >= o.c THEN 'new' ELSE 'old' END AS evidence, 'new' AS seen_by FROM o JOIN n USING (k)""",
+SELECT k, CASE WHEN o.c IS NULL OR n.c >= o.c THEN n.c ELSE o.c END AS confidence, CASE WHEN o.c IS NULL OR n.c >= o.c THEN 'new' ELSE 'old' END AS evidence, CASE WHEN n.c IS NULL THEN 'old' ELSE 'new' END AS seen_by FROM o FULL JOIN n USING (k)""",
 )
 def provenance_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who saw an edge last is always updated; confidence and evidence only when not lower."""
+    """Who saw an edge last is always updated, confidence and evidence only when not lower; edges of one side stay."""
     best = lambda odd: table(spark, sf_dir, "lineitem").where(f"l_linenumber % 2 = {odd}").groupBy(F.col("l_orderkey").alias("k")).agg(F.max(1 - F.col("l_discount")).alias(f"c{odd}"))
-    newer = F.col("c1") >= F.col("c0")
-    return best(0).join(best(1), "k").select("k", F.when(newer, F.col("c1")).otherwise(F.col("c0")).alias("confidence"), F.when(newer, "new").otherwise("old").alias("evidence"), F.lit("new").alias("seen_by"))
+    newer = F.col("c0").isNull() | (F.col("c1") >= F.col("c0"))
+    seen = F.when(F.col("c1").isNull(), "old").otherwise("new")
+    return best(0).join(best(1), "k", "full_outer").select("k", F.when(newer, F.col("c1")).otherwise(F.col("c0")).alias("confidence"), F.when(newer, "new").otherwise("old").alias("evidence"), seen.alias("seen_by"))
 
 
 @query("metadata_upsert", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce('q' || quality, source) AS kind, coalesce(lang, 'none') AS lang FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")
@@ -50,12 +53,12 @@ def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.upsert_best(e.where("size < 50"), e.where("size >= 50"), ["document_id", "artifact_type"], "size", []).select("document_id", "artifact_type", "size")
 
 
-@query("batch_recommend")
+@query("batch_recommend", _TOP + ", s AS (SELECT o_orderkey AS src FROM orders WHERE o_orderkey % 100 = 0) SELECT src, count(other)::BIGINT AS n FROM s LEFT JOIN (SELECT src, other FROM r WHERE rank <= 5) USING (src) GROUP BY src")
 def batch_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seed papers at once; a paper without candidates has an empty list, not an error."""
-    found = G.recommend(_signals(spark, sf_dir), _W, 5).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("r"))
-    all_ = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("src"))
-    return all_.join(found, "src", "left").select("src", F.size(F.coalesce("r", F.array().cast("array<struct<rank:int,other:bigint>>"))).alias("n"))
+    found = G.recommend(_signals(spark, sf_dir), _W, 5).groupBy("src").agg(F.count("*").alias("n"))
+    all_ = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("src"))
+    return all_.join(found, "src", "left").select("src", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _DOC = [(1, " A ﬁne\ttitle ", "Intro\n\n\n\nbody  text", "see-\nthe “figure”"), (2, "x", "Page 3\nkeep", None)]
@@ -73,9 +76,15 @@ def clean_document_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("id", "title", F.col("sections")[0]["content"].alias("section"), F.col("figures")[0]["caption"].alias("caption"))
 
 
+_ROUGE = "WITH rouge AS (" + ROUGE_SQL + ") "
+
 _AUTHORS = [(1, "Jane Doe (University of X, USA)"), (2, "John Roe, Institute of Y"), (3, "Ann Lee1,2"), (4, "Bo Li bo.li@acme.com"), (5, "Kim Park - Acme Corp, Korea")]
 
 
+# Words of a place -> country; the first that fits.
+COUNTRY_WORDS = {"VN": ["vietnam", "vnu", "hust"], "US": ["usa", "united states"], "JP": ["japan"], "CN": ["china"], "KR": ["korea"]}
+
+
 def author_parts(raw: Column) -> Column:
     """struct<name, affiliation, email, kind, country> of an author string."""
     email = F.regexp_extract(raw, r"([\w.+-]+@[\w.-]+\.[a-zA-Z]{2,})", 1)
@@ -86,7 +95,9 @@ def author_parts(raw: Column) -> Column:
     place = F.when(bare.rlike(paren), F.regexp_extract(bare, paren, 2)).when(bare.rlike(dash) & ~bare.rlike(mark), F.regexp_extract(bare, dash, 2)).otherwise("")
     low = F.lower(place)
     kind = F.when(low.rlike("university"), "university").when(low.rlike("institute"), "institute").when(low.rlike("company|corp|ltd"), "company").otherwise("")
-    country = F.when(low.rlike("vietnam|vnu|hust"), "VN").when(low.rlike("usa|united states"), "US").when(low.contains("japan"), "JP").when(low.contains("china"), "CN").when(low.contains("korea"), "KR").otherwise("")
+    country = F.lit("")
+    for code in reversed(COUNTRY_WORDS):
+        country = F.when(low.rlike("|".join(COUNTRY_WORDS[code])), code).otherwise(country)
     return F.struct(T.strip(name).alias("name"), place.alias("affiliation"), email.alias("email"), kind.alias("kind"), country.alias("country"))
 
 
@@ -110,10 +121,11 @@ def author_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_APA, "id int, t string").select("id", block.alias("block")).select("id", F.array_join(folded, "; ").alias("authors"), F.size(S.clean_authors(folded)).alias("valid"))
 
 
-@query("summary_mode_avg", "SELECT event_type AS mode, count(*)::BIGINT AS n, round(avg(value), 6) AS rouge_1, round(avg(value / 2), 6) AS rouge_2, round(avg(value * value), 4) AS rouge_l FROM events GROUP BY 1")
+@query("summary_mode_avg", _ROUGE + "SELECT 'turn' || turn AS mode, count(*)::BIGINT AS n, round(avg(rouge_1), 5) AS rouge_1, round(avg(rouge_2), 5) AS rouge_2 FROM rouge GROUP BY turn")
 def summary_mode_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("rouge_1"), F.round(F.avg(v / 2), 6).alias("rouge_2"), F.round(F.avg(v * v), 4).alias("rouge_l"))
+    """Mean ROUGE of the answers of each mode (here: the turn)."""
+    scores = rouge_scores(spark, sf_dir).withColumn("mode", F.concat(F.lit("turn"), "turn"))
+    return scores.groupBy("mode").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("rouge_1", "rouge_2")])
 
 
 @query("model_generate_stub", "SELECT conv_id, turn, substr(string_split(trim('Q: ' || text), '.')[1], 1, 200) AS answer FROM conversations WHERE role = 'user'")
@@ -124,9 +136,10 @@ def model_generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlp_rerank")
 def mlp_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 7).cast("array<double>").alias("f"))
-    scored = e.select("vec_id", F.lit(1).alias("query_id"), F.round(models.mlp_score(F.col("f")), 6).alias("score"))
-    return V.top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10).select("vec_id", "score", "rank")
+    """The ranked hits of every query reordered by the network over their seven features."""
+    f = _features(spark, sf_dir)
+    scored = f.select("query_id", "doc_id", F.round(models.mlp_score(F.array(*[F.col(c).cast("double") for c in f.columns[2:]])), 6).alias("score"))
+    return V.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("uuid_paper_ids")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip
@@ -89,10 +89,10 @@ def presence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("total"), F.count("text").alias("texts"), F.count_if(long_enough).alias("abstracts"), F.count("quality").alias("labelled"), F.round(share, 6).alias("coverage"), (share >= 0.95).alias("passed"))
 
 
-@query("topics_methods_dedup", "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:30], ' ') AS topics FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}]+') AS w FROM documents WHERE doc_id % 5 = 0)")
+@query("topics_methods_dedup", "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:30], ' ') AS topics FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}]+') AS w FROM documents)")
 def topics_methods_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
-    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.array_join(F.slice(F.array_distinct(words), 1, 30), " ").alias("topics"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(words), 1, 30), " ").alias("topics"))
 
 
 _ALIASES = [(1, "Net|CNN | convnet||"), (2, ""), (3, "a|a| b")]
@@ -106,30 +106,24 @@ def alias_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fulltext_lookup",
-    """WITH p AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM part), a AS (SELECT id, len(w) AS n, unnest(w) AS word FROM p WHERE id % 100 = 1),
-b AS (SELECT id AS match, len(w) AS m, unnest(w) AS word FROM p WHERE id % 100 <> 1), s AS (SELECT id, match, count(*) / greatest(n, m)::DOUBLE AS score FROM a JOIN b USING (word) GROUP BY id, match, n, m)
+    """WITH p AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM part), a AS (SELECT id, len(w) AS n, unnest(w) AS word FROM p WHERE id % 100 = 0),
+b AS (SELECT id AS match, len(w) AS m, unnest(w) AS word FROM p), s AS (SELECT id, match, count(*) / greatest(n, m)::DOUBLE AS score FROM a JOIN b USING (word) WHERE id <> match GROUP BY id, match, n, m)
 SELECT id, match, round(score, 6) AS score FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, match) = 1""",
 )
 def fulltext_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    found = M.overlap_lookup(p.where("id % 100 = 1"), p.where("id % 100 <> 1"), 0.5)
+    """The best other entry; a name is its own best match, so two are asked for."""
+    found = M.overlap_lookup(p.where("id % 100 = 0"), p, 0.5, k=2).where("id <> match")
+    found = found.withColumn("first", F.min(F.struct("rank", "match")).over(Window.partitionBy("id"))).where("match = first.match")
     return found.select("id", "match", F.round("score", 6).alias("score"))
 
 
-_TITLES = [(1, "Deep learning for things", "Deep Learning for Things"), (2, "abc", "xyz"), (3, "A study of cats", "A study of bats")]
-
-
 @query("title_similarity")
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratcliff/Obershelp ratio of lower-cased titles, accepted from 0.8."""
-    import difflib
-
-    @F.udf("double", useArrow=True)
-    def ratio(a, b):
-        return difflib.SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
-
-    df = spark.createDataFrame(_TITLES, "id int, a string, b string")
-    return df.select("id", F.round(ratio("a", "b"), 6).alias("ratio")).withColumn("accepted", F.col("ratio") >= 0.8)
+    """Parts whose lower-cased titles are alike (ratio from 0.8): every hundredth against all, through their rarest words."""
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"))
+    found = M.similar_titles(titles.where("id % 100 = 0"), titles)
+    return found.select("id", "match", F.round("ratio", 6).alias("ratio"))
 
 
 _FOUND = [(1, "ResNet-50", ["residual net"], 0.8, 0), (1, "resnet 50", [], 0.9, 1), (1, "Residual Net", [], 0.95, 2), (1, "BERT", [], 0.7, 0), (2, "bert", [], 0.6, 1), (2, "BERT", [], 0.6, 0)]
@@ -141,9 +135,9 @@ def entity_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_entities(df).select("doc_id", "name", "confidence")
 
 
-@query("verify_batches", "SELECT l_orderkey AS paper, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1) // 3 AS batch, l_partkey AS target FROM lineitem WHERE l_orderkey % 100 = 0")
+@query("verify_batches", "SELECT l_orderkey AS paper, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1) // 3 AS batch, l_partkey AS target FROM lineitem")
 def verify_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("target"), "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("target"), "l_linenumber")
     return M.batches(rows, ["paper"], ["target", "l_linenumber"], 3).select("paper", "batch", "target")
 
 
@@ -155,15 +149,13 @@ def tile_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.tile_groups(spark.createDataFrame(_TILES, "tile_id long, page int, x0 double, y0 double, y1 double"))
 
 
-@query("positional_zip", "SELECT a.event_id AS figure, b.o_orderkey AS blob FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 100 = 0) a JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 200 = 0) b USING (n)")
+@query("positional_zip", "SELECT a.user_id AS doc, a.event_id AS figure, b.o_orderkey AS blob FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) a JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) b ON a.user_id = b.o_custkey AND a.n = b.n")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both lists belong to one document here, so its rows are numbered in one window each."""
-    from pyspark.sql import Window
-
+    """A document's figures and blobs by their place in it."""
     doc = Window.partitionBy("doc")
-    a = table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.lit(1).alias("doc"), F.col("event_id").alias("figure")).withColumn("n", F.row_number().over(doc.orderBy("figure")))
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 200 = 0").select(F.lit(1).alias("doc"), F.col("o_orderkey").alias("blob")).withColumn("n", F.row_number().over(doc.orderBy("blob")))
-    return a.join(b, ["doc", "n"]).select("figure", "blob")
+    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("figure")).withColumn("n", F.row_number().over(doc.orderBy("figure")))
+    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("blob")).withColumn("n", F.row_number().over(doc.orderBy("blob")))
+    return a.join(b, ["doc", "n"]).select("doc", "figure", "blob")
 
 
 @query("paper_key_resolution", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'doi:10.1/' || o_orderkey ELSE 'title:t' || o_orderkey % 100 || ':' || CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE 0 END END AS key FROM orders")
@@ -189,6 +181,7 @@ def gold_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_REFS, "id int, ref string, file string, page int, chunk int").select("id", hit.alias("hit"))
 
 
+# Verbs of use near an entity, as a pattern.
 _VERBS = "propose[sd]?|use[sd]?|apply|appli(?:es|ed)|adopt(?:ed)?|employ(?:ed)?|implement(?:ed)?|fine[\\s-]tun(?:e[sd]?|ing)|pre[\\s-]train(?:ed)?"
 _RELATIONS = [(1, "We propose a BERT model here.", "bert", 0.85, "method"), (2, "Nothing about it. " + "x" * 300 + " used", "nothing", 0.7, "results"), (3, "GPT is adopted", "gpt", 0.97, "approach x"), (4, "no such name", "zeta", 0.5, "other")]
 

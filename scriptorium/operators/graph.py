@@ -7,6 +7,7 @@ result replaces the table.  Applying the same batch twice changes nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,6 +200,58 @@ def degree_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row.select("nodes", (F.col("ends") / 2).cast("long").alias("edges"), F.round("isolated_share", 6).alias("isolated_share"), F.round("avg_degree", 6).alias("avg_degree"), ((F.col("isolated_share") < 0.3) & (F.col("avg_degree") > 1)).alias("healthy"))
 
 
+def paper_edges(docs: DataFrame, citations: DataFrame) -> DataFrame:
+    """(rel, src, dst) of papers (paper, author, place, venue, topics array) and their citations (src, dst named): one row per relation."""
+    def edge(rows: DataFrame, rel: str, src: Column, dst: Column) -> DataFrame:
+        return rows.select(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst"))
+
+    def named(mark: str, c: str) -> Column:
+        return F.concat(F.lit(mark), F.col(c).cast("string"))
+
+    parts = [
+        edge(docs.where("author is not null").select("author", "paper").distinct(), "WROTE", named("a", "author"), named("p", "paper")),
+        edge(docs.where("author is not null and place is not null").select("author", "place").distinct(), "AFFILIATED_WITH", named("a", "author"), named("i", "place")),
+        edge(docs.where("venue is not null").select("paper", "venue").distinct(), "PUBLISHED_AT", named("p", "paper"), named("v", "venue")),
+        edge(docs.select("paper", F.explode("topics").alias("topic")).distinct(), "HAS_TOPIC", named("p", "paper"), named("t", "topic")),
+        edge(citations.distinct(), "CITES", named("p", "src"), F.col("dst").cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Kinds of nodes and edges of a built graph.
+NODE_KINDS = ("Paper", "Author", "Institution", "Venue", "Topic", "Concept", "Evidence", "Metric", "Finding", "Chunk")
+EDGE_KINDS = ("WROTE", "AFFILIATED_WITH", "PUBLISHED_AT", "HAS_TOPIC", "CITES", "USES_CONCEPT", "EVALUATES_ON", "ACHIEVES_METRIC", "HAS_FINDING", "BASED_ON", "EXTENDS", "SUPPORTS", "CONTRADICTS", "SIMILAR_TO", "HAS_CHUNK")
+
+
+def assertions(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, findings: DataFrame, docs: DataFrame, calls: DataFrame) -> DataFrame:
+    """(assertion, value, passed): fifteen checks of a graph (nodes id, kind, stub; edges src, dst, kind), its documents and model calls (phase, success)."""
+    degree = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("d"))
+    out_of = edges.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
+    d = F.coalesce("d", F.lit(0))
+    joined = nodes.join(degree, "id", "left").join(out_of, "id", "left")
+    per_node = joined.agg(
+        F.count("*").cast("double").alias("nodes"), F.avg((d == 0).cast("int")).alias("isolated"), F.avg(d).alias("degree"), F.count_if(~F.col("kind").isin(*NODE_KINDS)).cast("double").alias("node_types"),
+        F.count_if((F.col("kind") == "Paper") & ~F.col("stub") & F.col("out").isNull()).cast("double").alias("papers_without_edges"),
+    )
+    known = nodes.select("id").distinct()
+    sound = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").agg(F.count("*").alias("sound"))
+    of = lambda kind: F.count_if(F.col("kind") == kind).cast("double")
+    per_edge = edges.agg(F.count("*").cast("double").alias("edges"), F.count_if(~F.col("kind").isin(*EDGE_KINDS)).cast("double").alias("edge_types"), of("USES_CONCEPT").alias("uses_concept"), of("CITES").alias("cites"))
+    conflicts = nodes.groupBy("id").agg(F.count_distinct("kind").alias("k")).agg(F.count_if(F.col("k") > 1).cast("double").alias("type_conflicts"))
+    ok = F.col("success").cast("int")
+    per_call = calls.agg((1 - F.avg(ok)).alias("error_rate"), F.avg(F.when(F.col("phase") == "extract", ok)).alias("parse_rate"))
+    sizes = docs.agg(F.count("*").alias("docs"))
+    row = reduce(lambda x, y: x.join(F.broadcast(y)), [sound, per_edge, conflicts, per_call, sizes, concepts.agg(F.count("*").alias("c")), findings.agg(F.count("*").alias("f"))], per_node)  # single rows
+    row = row.withColumns({"consistency": F.col("sound") / F.col("edges"), "concepts_per_doc": F.col("c") / F.col("docs"), "findings_per_doc": F.col("f") / F.col("docs")})
+    limits = {
+        "nodes": F.col("nodes") > 0, "edges": F.col("edges") > 0, "isolated": F.col("isolated") < 0.3, "consistency": F.col("consistency") >= 0.99, "degree": F.col("degree") > 1, "type_conflicts": F.col("type_conflicts") == 0,
+        "papers_without_edges": F.col("papers_without_edges") == 0, "edge_types": F.col("edge_types") == 0, "node_types": F.col("node_types") == 0, "error_rate": F.col("error_rate") < 0.2,
+        "concepts_per_doc": F.col("concepts_per_doc") >= 1, "findings_per_doc": F.col("findings_per_doc") >= 1, "uses_concept": F.col("uses_concept") > 0, "cites": F.col("cites") > 0, "parse_rate": F.coalesce(F.col("parse_rate"), F.lit(1.0)) >= 0.8,
+    }
+    one = F.explode(F.array(*[F.struct(F.lit(n).alias("assertion"), F.round(F.col(n), 6).alias("value"), ok_.alias("passed")) for n, ok_ in limits.items()]))
+    return row.select(one.alias("r")).select("r.*")
+
+
 def co_occurrence(edges: DataFrame, sources: DataFrame, weight: Column) -> DataFrame:
     """(src, other, raw): papers that share a target with a source paper; edges (paper, target, ...), ``weight`` per shared edge pair.
 

@@ -86,8 +86,8 @@ def batches(rows: DataFrame, keys: list[str], order: list[str], size: int = 10)
     return rows.withColumn("batch", F.floor(n / size).cast("long"))
 
 
-def overlap_lookup(names: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """(id, match, score): the entry sharing the largest part of a name's words, if at least ``least``.
+def overlap_lookup(names: DataFrame, entries: DataFrame, least: float, k: int = 1) -> DataFrame:
+    """(id, match, score, rank): the k entries sharing the largest part of a name's words, if at least ``least``.
 
     An inverted index on the words; the score is shared / max(words of either).
     """
@@ -99,7 +99,72 @@ def overlap_lookup(names: DataFrame, entries: DataFrame, least: float) -> DataFr
     shared = a.join(b, "word").groupBy("id", "match", "n", "m").agg(F.count("*").alias("c"))
     scored = shared.select("id", "match", (F.col("c") / F.greatest("n", "m")).alias("score")).where(F.col("score") >= least)
     best = Window.partitionBy("id").orderBy(F.desc("score"), "match")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _containing(holders: DataFrame, needles: DataFrame) -> DataFrame:
+    """(h, n): texts (h, held) that contain a needle (n, needle), in lower case; every needle is looked for through its rarest run of three characters."""
+
+    def grams(c: str, size: Column) -> Column:
+        last = F.length(c) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(c), i, size))))
+
+    low = holders.select("h", F.lower("held").alias("held"))
+    asked = needles.select("n", F.lower("needle").alias("needle")).where("needle <> ''").withColumn("size", F.least(F.lit(3), F.length("needle")))
+    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # 1, 2 or 3
+    met = None
+    for size in sizes:
+        rows = low.select("h", F.explode(grams("held", F.lit(size))).alias("gram"))
+        met = rows if met is None else met.unionByName(rows)
+    if met is None:
+        return low.select("h", F.lit(None).cast("long").alias("n")).limit(0)
+    df = met.groupBy("gram").agg(F.count("*").alias("df"))
+    parts = asked.select("n", "needle", F.explode(grams("needle", F.col("size"))).alias("gram")).join(df, "gram", "left")
+    rarest = parts.groupBy("n", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0")
+    pairs = rarest.select("n", "needle", F.col("r.gram").alias("gram")).join(met, "gram")
+    return pairs.join(low, "h").where(F.contains("held", F.col("needle"))).select("h", "n").distinct()
+
+
+def substring_pairs(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, id): names (id, name) that contain a query (query_id, q) or that it contains; equi-joins on rare substrings, no pair of all."""
+    inside = _containing(names.select(F.col("id").alias("h"), F.col("name").alias("held")), queries.select(F.col("query_id").alias("n"), F.col("q").alias("needle")))
+    around = _containing(queries.select(F.col("query_id").alias("h"), F.col("q").alias("held")), names.select(F.col("id").alias("n"), F.col("name").alias("needle")))
+    return inside.select(F.col("n").alias("query_id"), F.col("h").alias("id")).unionByName(around.select(F.col("h").alias("query_id"), F.col("n").alias("id"))).distinct()
+
+
+def similar_titles(asked: DataFrame, titles: DataFrame, least: float = 0.8) -> DataFrame:
+    """(id, match, ratio): Ratcliff/Obershelp ratio of lower-cased titles (id, title) of at least ``least``, other ids only.
+
+    Candidates share a word: of titles with such a ratio at least 0.8 of the
+    characters match, so some whole word of three letters or more nearly always
+    does; each asked title is met through its two rarest words.  Pairs are
+    scored in Arrow batches, each distinct pair of texts once.
+    """
+    import difflib
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def words(df: DataFrame) -> DataFrame:
+        return df.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
+
+    met = words(titles)
+    df = met.groupBy("w").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("id").orderBy("df", "w")
+    keys = words(asked).join(df, "w").withColumn("n", F.row_number().over(rare)).where("n <= 2").select(F.col("id").alias("a"), "w")
+    pairs = keys.join(met, "w").where("a <> id").select("a", "id").distinct()
+    both = pairs.join(titles.select("id", F.lower("title").alias("y")), "id").join(asked.select(F.col("id").alias("a"), F.lower("title").alias("x")), "a")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = {}
+            for x, y in set(zip(batch["x"], batch["y"], strict=True)):
+                match = difflib.SequenceMatcher(None, x, y)
+                known[x, y] = match.ratio() if match.real_quick_ratio() >= least and match.quick_ratio() >= least else 0.0
+            batch = batch.assign(ratio=[known[p] for p in zip(batch["x"], batch["y"], strict=True)])
+            yield batch.loc[batch["ratio"] >= least, ["a", "id", "ratio"]]
+
+    return both.select("a", "id", "x", "y").mapInPandas(score, "id long, match long, ratio double".replace("id long, match", "a long, id")).select(F.col("a").alias("id"), F.col("id").alias("match"), "ratio")
 
 
 def tile_groups(tiles: DataFrame, tolerance: float = 5.0) -> DataFrame:

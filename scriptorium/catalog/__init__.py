@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables, grouped by theme."""
 
-from . import analytics, answers, builders, extra, graph, queue, records, retrieval, structure, text  # noqa: F401
+from . import analytics, answers, builders, extra, graph, queue, reading, records, retrieval, structure, text  # noqa: F401

@@ -128,7 +128,7 @@ def _plain_sql(x: str) -> str:
 @query(
     "formula_classify",
     f"""SELECT id, CASE WHEN regexp_matches(raw, '<math|<mrow|<mi') THEN 'mathml' WHEN regexp_matches(raw, '[\\\\$]') THEN 'latex' ELSE 'unknown' END AS format,
-CASE WHEN regexp_matches(raw, '<math|<mrow|<mi') THEN CASE WHEN regexp_matches(raw, 'display=["'']block["'']') THEN 'block' ELSE 'inline' END WHEN regexp_matches(raw, '{S.DEFINITION_MATH}') THEN 'definition' WHEN regexp_matches(raw, '{S.MATRIX_MATH}') THEN 'matrix' WHEN regexp_matches(raw, '{S.SYSTEM_MATH}') THEN 'system'
+CASE WHEN regexp_matches(raw, '<math|<mrow|<mi') THEN CASE WHEN regexp_matches(raw, 'display=["'']block["'']') THEN 'block' ELSE 'inline' END WHEN regexp_matches(raw, '{'|'.join(S.DEFINITION_SIGNS)}') THEN 'definition' WHEN regexp_matches(raw, '{'|'.join(S.MATRIX_SIGNS)}') THEN 'matrix' WHEN regexp_matches(raw, '{'|'.join(S.SYSTEM_SIGNS)}') THEN 'system'
  WHEN kind IN ('equation', 'block', 'inline', 'matrix', 'system', 'definition') THEN kind ELSE 'inline' END AS formula_type, substr(trim({_plain_sql('raw')}), 1, 200) AS display, lower(trim(regexp_replace(raw, '\\s+', '', 'g'), '$')) AS key FROM {values_sql(['id', 'raw', 'kind'], _MATH)}""",
 )
 def formula_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

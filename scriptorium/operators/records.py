@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,3 +187,94 @@ def tile_groups(tiles: DataFrame, tolerance: float = 5.0) -> DataFrame:
     near = low.join(high, ["page", "cell"]).where((F.abs(F.col("ax") - F.col("bx")) < tolerance) & (F.abs(F.col("ay") - F.col("by")) < tolerance) & (F.col("a") != F.col("b")))
     found = connected_components(near.select("a", "b"), "a", "b")
     return tiles.select("tile_id").join(found.withColumnRenamed("node", "tile_id"), "tile_id", "left").select("tile_id", F.coalesce("component", "tile_id").alias("group"))
+
+
+def merge_lists(lists: list[DataFrame], keys: list[str], order: str, raw: str) -> DataFrame:
+    """(keys, idx, raw): lists one after the other, each entry once by its text without spaces and case, numbered from 0."""
+    both = reduce(DataFrame.unionByName, [rows.select(*keys, F.lit(i).alias("list"), order, raw) for i, rows in enumerate(lists)])
+    first = both.withColumn("k", F.lower(F.regexp_replace(raw, r"\s+", ""))).where("k <> ''").groupBy(*keys, "k").agg(F.min(F.struct("list", order, raw)).alias("f"))
+    at = Window.partitionBy(*keys).orderBy("f.list", f"f.{order}", "k")
+    return first.select(*keys, (F.row_number().over(at) - 1).cast("long").alias("idx"), F.col(f"f.{raw}").alias(raw))
+
+
+def filled(df: DataFrame, c: str) -> Column:
+    """Whether a field holds anything: text that is not blank (an abstract: 50 characters), a list with an item, a value."""
+    kind = dict(df.dtypes)[c]
+    if kind == "string":
+        return F.coalesce(F.length(F.col(c)) >= 50 if c == "abstract" else F.trim(F.col(c)) != "", F.lit(False))
+    return F.coalesce(F.size(c) > 0, F.lit(False)) if kind.startswith("array") else F.col(c).isNotNull()
+
+
+def presence(df: DataFrame, fields: Sequence[str], core: Sequence[str]) -> DataFrame:
+    """(total, one count a field, core_ok) in one pass."""
+    has = {c: filled(df, c) for c in fields}
+    return df.agg(F.count("*").alias("total"), *[F.count_if(x).alias(c) for c, x in has.items()], F.count_if(reduce(lambda x, y: x & y, [has[c] for c in core])).alias("core_ok"))
+
+
+def repair_metadata(new: dict[str, Column], old: dict[str, Column], enough: int = 8) -> dict[str, Column]:
+    """A version that scores under ``enough`` takes every field that a better scored stored version has."""
+    parts = ("title", "abstract", "authors", "keywords", "year")
+    mine, theirs = quality_score(*[new[p] for p in parts]), quality_score(*[old[p] for p in parts])
+    worse = (mine < enough) & (theirs > mine)
+    has = {k: (F.size(c) > 0) if k in ("authors", "keywords") else c.isNotNull() & (c.cast("string") != "") for k, c in old.items()}
+    return {k: F.when(worse & F.coalesce(has[k], F.lit(False)), old[k]).otherwise(new[k]) for k in new}
+
+
+# Names of sections that are taken for titles.
+GENERIC_TITLES = ("đặt vấn đề", "mở đầu", "introduction", "abstract", "kết luận", "tài liệu tham khảo")
+# Places that are taken for authors.
+LOCATIONS = (
+    "hải phòng", "hà nội", "đà nẵng", "huế", "hồ chí minh", "an lão", "cần thơ", "bình dương", "đồng nai", "nghệ an", "thanh hóa", "hải dương", "quảng ninh", "thái nguyên",
+    "bắc ninh", "nam định", "bắc giang", "lào cai", "phú thọ", "vĩnh phúc", "hưng yên", "thái bình", "ninh bình", "vietnam", "viet nam", "việt nam",
+)
+
+
+def bad_title(title: Column) -> Column:
+    """Blank, the name of a section, or shorter than 12 characters."""
+    low = F.lower(strip(F.coalesce(title, F.lit(""))))
+    return low.isin(*GENERIC_TITLES) | (F.length(low) < 12)
+
+
+def bad_authors(authors: Column, title: Column) -> Column:
+    """None, or more than half of them places, parts of the title, or not two to six words."""
+    low_title = F.lower(strip(F.coalesce(title, F.lit(""))))
+
+    def bad(name: Column) -> Column:
+        low = F.lower(strip(name))
+        part = (low_title != "") & (F.length(low) > 10) & F.contains(low_title, low)
+        return low.isin(*LOCATIONS) | part | ~F.size(F.filter(F.split(low, r"\s+"), lambda w: w != "")).between(2, 6)
+
+    return (F.size(authors) == 0) | (F.size(F.filter(authors, bad)) > 0.5 * F.size(authors))
+
+
+# Verbs of evaluation near a data set, and of use near a concept, as patterns; sections that add to each.
+VERBS = {
+    "concept": r"(?i)propose[sd]?|use[sd]?|apply|appli(?:es|ed)|adopt(?:ed)?|employ(?:ed)?|implement(?:ed)?|fine[\s-]tun(?:e[sd]?|ing)|pre[\s-]train(?:ed)?",
+    "evidence": r"(?i)evaluat(?:e[sd]?|ion|ing)|experiment(?:s|ed)?|test(?:ed)?|benchmark(?:ed)?|measur(?:e[sd]?|ing)|trained on|compar(?:e[sd]?|ison)",
+}
+SECTIONS = {"concept": ("method", "proposed", "approach"), "evidence": ("experiment", "evaluation", "result")}
+WINDOW = 250
+
+
+def scored_relation(text: Column, name: Column, confidence: Column, evidence: Column, section: Column, *, kind: str) -> Column:
+    """struct(confidence, evidence): 0.10 more and the line of the name for a verb within 250 characters of any place of the name, 0.05 more for a section of its kind."""
+    low = F.lower(name)
+    # the texts between places of the name: place i ends the i-th part
+    parts = F.split(F.lower(text), F.concat(F.lit(r"\Q"), low, F.lit(r"\E")), -1)
+    ends = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.when(F.size(acc) > 0, F.length(name)).otherwise(0) + F.length(p)))
+    starts = F.transform(ends, lambda e: F.greatest(e - WINDOW, F.lit(0)) + 1)
+    windows = F.zip_with(starts, ends, lambda s, e: F.substring(text, s, e + F.length(name) + WINDOW - s + 1))
+    near = F.get(F.filter(windows, lambda w: w.rlike(VERBS[kind])), 0)
+    line = F.get(F.filter(F.split(near, "\n"), lambda x: F.contains(F.lower(x), low)), 0)
+    used = F.when(near.isNotNull(), F.least(F.lit(1.0), confidence + 0.10)).otherwise(confidence)
+    placed = reduce(lambda x, p: x | F.coalesce(section, F.lit("")).startswith(p), SECTIONS[kind], F.lit(False))
+    total = F.when(placed, F.least(F.lit(1.0), used + 0.05)).otherwise(used)
+    return F.struct(F.round(total, 3).alias("confidence"), F.coalesce(F.substring(strip(F.coalesce(line, near)), 1, 200), evidence).alias("evidence"))
+
+
+def named_terms(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, name, n): each document's k most frequent capitalised names of three characters or more."""
+    names = F.regexp_extract_all("text", F.lit("([A-Z][A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)"), 1)
+    counts = docs.select("doc_id", F.explode(names).alias("name")).where("length(name) > 2").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "name")
+    return counts.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")

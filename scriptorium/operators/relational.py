@@ -49,3 +49,9 @@ def profile(df: DataFrame) -> DataFrame:
     row = df.agg(F.count("*").alias("total"), *parts)
     one = [F.struct(F.lit(c).alias("column_name"), F.col("total"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct_values")) for c in df.columns]
     return row.select(F.inline(F.array(*one)))
+
+
+def advise(profile: DataFrame) -> DataFrame:
+    """A profile with what to do about each column: empty ones go, constant ones want a look, the rest stay."""
+    filled = F.col("total") - F.col("nulls")
+    return profile.withColumn("advice", F.when(filled == 0, "drop: empty").when((F.col("distinct_values") == 1) & (F.col("total") > 1), "review: constant").otherwise("keep"))

@@ -43,3 +43,19 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 def page_text(layer: Column, ocr: Column) -> Column:
     """The text layer if it is nearly as long as the recognised text and not tiny."""
     return F.when((F.length(layer) > 0.8 * F.length(ocr)) & (F.length(layer) > 100), layer).otherwise(ocr)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): each file below ``path`` whole; bytes that are no UTF-8 are replaced, and empty files give no row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def write_documents(docs: DataFrame, path: str, by: list[str]) -> None:
+    """Documents as JSON, one folder for each value of the columns ``by`` (user, stem)."""
+    docs.repartition(*by).write.partitionBy(*by).mode("overwrite").json(path)
+
+
+def read_documents_safely(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_documents`, with the text of files that are no JSON in ``broken``; one bad file never ends a job."""
+    return spark.read.schema(f"{DOCUMENT}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path, multiLine=True)

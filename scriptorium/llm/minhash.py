@@ -12,9 +12,11 @@ number of pairs a round, until every two members of every bucket are in one
 component or have been compared.
 
 Defined results: null text, or text without words: an empty set, linked with
-nothing.  Rows with the same doc_id are one node with all their sets.  Rows
-without doc_id link with nothing; component_id is null and kept true.  An empty
-table gives an empty table.  Extra columns are ignored.
+nothing.  A very long text is read whole, and a similarity equal to the
+threshold links.  Rows with the same doc_id are one node with all their sets.
+Rows without doc_id link with nothing; component_id is null and kept true.  An
+empty table gives an empty table.  Extra columns are ignored, whatever their
+names.  Ids are whole numbers.
 """
 
 from __future__ import annotations

@@ -7,9 +7,12 @@ densification, cut into 42 bands of 6.  In each bucket every class is first
 linked to one centre only (drawn afresh per band), so a bucket of m classes makes
 m - 1 candidate edges.  Edges are confirmed on the full sets: first each class's
 most frequent partner, then all edges that still join different components.
-Buckets that still hold several components elect further centres, a bounded
-number of pairs a round, until every two members of every bucket are in one
-component or have been compared.
+Buckets that still hold several components are then finished exactly, without a
+row for each pair: their members meet in blocks, by one byte of each bin.  Pairs
+in one component, pairs of an earlier band, and pairs whose bytes agree in far
+fewer places than a link's do are passed over.  Where few pairs are left they
+are confirmed one by one; where many are (families of texts near the threshold)
+the block's texts are fetched and compared as a product of incidence matrices.
 
 Defined results: null text, or text without words: an empty set, linked with
 nothing.  A very long text is read whole, and a similarity equal to the
@@ -25,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.plans.components import connected_components
 from scriptorium.plans.scratch import drop_stored, stored
 
+from .columns import small
 from .kernel import FOLD, mix, pieces, shingle_sets, span_hashes, utf8
 
 BINS, BANDS, ROWS = 256, 42, 6
@@ -64,7 +68,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return mix((used * _WEIGHTS).sum(2, dtype=np.uint64), 6).view(np.int64)
 
 
-_SKETCHED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
 
 def _sketcher(k: int):
@@ -83,7 +87,9 @@ def _sketcher(k: int):
                 keys = band_keys(sketches).reshape(-1)
                 counts = np.where(n > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands], schema=_SKETCHED)
+                low = iter(mix(sketches[:, : BANDS * ROWS], 51).astype(np.uint8))
+                raw = pa.array([next(low).tobytes() if x else None for x in n], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, raw], schema=_SKETCHED)
 
     return run
 
@@ -166,44 +172,160 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.mapInArrow(_confirmer(k, percent), "x long, y long").distinct()
 
 
-#: Pairs compared in one round over the buckets that hold several components: at least so many, or two for each class.
-ROUND_PAIRS = 200_000
+#: Members in a block (about) of a bucket that is finished, and pairs a member from which the block's texts are fetched.
+BLOCK, DENSE = 256, 4
+_UNIT = ("band", "bucket", "lo", "hi")
 
 
-def _finish_buckets(members: DataFrame, compared: DataFrame, component: DataFrame, texts: DataFrame, most: int, k: int, percent: int) -> DataFrame:
-    """``component`` (node, component) once every two ``members`` (band, bucket, rep, n_shingles) of a bucket are in one component or compared.
+def least_equal(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Bytes (of BANDS * ROWS) in which a linked pair agrees at least, but for a chance of about 1e-8; a small set is as few draws as it has shingles."""
+    n, p = BANDS * ROWS, percent / 100
+    spread = np.sqrt(p * (1 - p) / np.minimum(n, np.maximum(shingles, 1)))
+    return np.maximum(ROWS, np.floor(n * (p - 5.6 * spread)))
 
-    A round's centres are compared with all other members left in their bucket
-    and then leave it; the other members stay, linked or not, since a link to a
-    centre says nothing about the pairs among them.
+
+def _units(act):
+    """Run ``act`` on each unit's rows; units come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _UNIT], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(k)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b <= a:
+                    continue
+                if held and (k[a] != key).any():
+                    yield from act(pa.Table.from_batches(held))
+                    held = []
+                key = k[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from act(pa.Table.from_batches(held))
+
+    return run
+
+
+def _open_pairs(t: pa.Table, percent: int) -> np.ndarray:
+    """(n, n) upper triangle: the unit's pairs that a link is still possible for and no earlier band has."""
+    n = t.num_rows
+    low = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8).reshape(n, BANDS * ROWS)
+    own, sizes, side = (t[c].to_numpy() for c in ("own", "n_shingles", "side"))
+    band = t["band"][0].as_py()
+    out = own[:, None] != own[None, :]
+    out &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    out &= (side[:, None] < side[None, :]) if t["lo"][0].as_py() != t["hi"][0].as_py() else np.triu(np.ones((n, n), bool), 1)
+    least = least_equal(sizes, percent)
+    for i in np.flatnonzero(out.any(1)):
+        some = np.flatnonzero(out[i])
+        same = low[some] == low[i]
+        good = same.sum(1) >= np.minimum(least[some], least[i])
+        good[good] &= ~same[good, : band * ROWS].reshape(int(good.sum()), band, ROWS).all(2).any(1)
+        out[i, some[~good]] = False
+    return out
+
+
+_OPEN = "x long, y long, band int, bucket long, lo int, hi int, side int, own long, n_shingles long, bytes binary"
+
+
+def _finder(percent: int):
+    """A unit's open pairs (x, y), or its members (y null) if the pairs are many."""
+
+    def act(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
+        a, b = np.nonzero(_open_pairs(t, percent))
+        ids = t["rep"].to_numpy()
+        names = ["x", "y", *_UNIT, "side", "own", "n_shingles", "bytes"]
+        if len(a) > DENSE * t.num_rows:
+            t = t.combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([t.column("rep"), pa.nulls(t.num_rows, pa.int64()), *[t.column(c) for c in names[2:]]], names=names)
+        elif len(a):
+            nulls = [pa.nulls(len(a), kind) for kind in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), *nulls], names=names)
+
+    return _units(act)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) sizes of the sets' intersections, by incidence matrices over slices of the shingles that several sets have."""
+    n = len(sets)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes, rows = hashes[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    counts = np.diff(first, append=len(hashes))
+    column = np.repeat(np.cumsum(counts > 1) - 1, counts)
+    several = np.repeat(counts > 1, counts)
+    column, rows = column[several], rows[several]
+    out = np.zeros((n, n), np.float32)
+    width = max(1, min(8192, 16_000_000 // max(n, 1)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        part = np.zeros((n, width), np.float32)
+        part[rows[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_verifier(k: int, percent: int):
+    """Edges (x, y) that span the links of a unit compared as a block."""
+
+    def act(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        open_ = _open_pairs(t, percent)
+        data, off = utf8(t["text"].combine_chunks())
+        sets = shingle_sets(FOLD[data], off, k)
+        sizes = np.array([len(s) for s in sets], np.float32)
+        shared = shared_counts(sets)
+        a, b = np.nonzero(open_ & (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (shared > 0))
+        root = np.arange(t.num_rows)
+        kept = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):  # a spanning forest of the links
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            while root[j] != j:
+                root[j] = j = root[root[j]]
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                kept.append((i, j))
+        if kept:
+            ids = t["rep"].to_numpy()
+            x, y = np.array(kept).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["x", "y"])
+
+    return _units(act)
+
+
+def _finish_buckets(members: DataFrame, low: DataFrame, component: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``component`` (node, component) once every two ``members`` (band, bucket, rep, n_shingles) of a bucket are in one component or have been ruled out or compared.
+
+    low: rep, bytes.
     """
     at = ["band", "bucket"]
-    left = members
-    while True:
-        placed = left.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", "n_shingles", F.coalesce("component", "rep").alias("own"))
-        mixed = placed.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select(*at)
-        still = stored(placed.join(mixed, at), "unfinished")
-        n = still.count()
-        if not n:
-            return component
-        rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.xxhash64("rep"), "rep"))
-        centres = stored(still.withColumn("rank", rank).where(F.col("rank") <= max(1, most // n)).drop("rank"), "centres")
-        named = centres.select(*at, F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("own").alias("centre_own"))
-        pairs = (
-            still.join(named, at)
-            .where("own <> centre_own")
-            .where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
-            .select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y"))
-            .distinct()
-        )
-        pairs = stored(pairs.join(compared, ["x", "y"], "left_anti"), "pairs")
-        more = stored(_confirmed(pairs, texts, k, percent), "links")
-        if not more.isEmpty():
-            component = stored(connected_components(component.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more), "x", "y"), "components")
-        compared = compared.unionByName(pairs)
-        left = stored(still.select(*at, "rep", "n_shingles").join(centres.select(*at, "rep"), [*at, "rep"], "left_anti"), "left")
-        drop_stored(still)
-        drop_stored(centres)
+    placed = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*at, "rep", "n_shingles", F.coalesce("component", "rep").alias("own"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n")).where("a <> b")
+    mixed = stored(mixed.select(*at, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "unfinished")
+    if mixed.isEmpty():
+        return component
+    side = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+    still = stored(placed.join(small(mixed), at).withColumn("side", side), "unfinished_members")
+    units = still.join(low, "rep").select(*at, "rep", "n_shingles", "own", "bytes", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = units.select(*at, "rep", "n_shingles", "own", "bytes", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    found = stored(units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_finder(percent), _OPEN), "open_pairs")
+    pairs = found.where("y is not null").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    links = _confirmed(pairs, texts, k, percent)
+    dense = found.where("y is null").drop("y").withColumnRenamed("x", "rep")
+    if not dense.isEmpty():
+        block = dense.join(texts.withColumnRenamed("id", "rep"), "rep").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+        links = links.unionByName(block.mapInArrow(_block_verifier(k, percent), "x long, y long"))
+    links = stored(links, "links")
+    drop_stored(placed)
+    if links.isEmpty():
+        return component
+    return stored(connected_components(component.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(links), "x", "y"), "components")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -213,10 +335,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their shingle sets; component_id is the smallest id reachable by links.
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(text.mapInArrow(_sketcher(shingle_words), "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketched")
+    sketched = stored(text.mapInArrow(_sketcher(shingle_words), "id long, n_shingles long, set_a long, set_b long, bands array<long>, bytes binary"), "sketched")
     named = sketched.where("id is not null and n_shingles > 0")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = named.groupBy(*key).agg(F.min(F.struct("id", "bands")).alias("one")).select(*key, F.col("one.id").alias("rep"), F.col("one.bands").alias("bands"))
+    classes = named.groupBy(*key).agg(F.min(F.struct("id", "bands", "bytes")).alias("one")).select(*key, F.col("one.id").alias("rep"), F.col("one.bands").alias("bands"), F.col("one.bytes").alias("bytes"))
     classes = stored(classes, "classes")
 
     buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
@@ -263,9 +385,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = first
     if not more.isEmpty():
         component = stored(connected_components(links.unionByName(more), "x", "y"), "components")
-    compared = edges.select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y"))
-    most = max(ROUND_PAIRS, 2 * classes.count())
-    component = _finish_buckets(members.select("band", "bucket", "rep", "n_shingles"), compared, component, texts, most, shingle_words, percent)
+    component = _finish_buckets(members.select("band", "bucket", "rep", "n_shingles"), classes.select("rep", "bytes"), component, texts, shingle_words, percent)
     drop_stored(members)
     drop_stored(texts)
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from scriptorium.llm import minhash
 
 
@@ -74,5 +76,19 @@ def test_pairs_within_a_family_just_below_the_threshold(spark, monkeypatch):
     assert sum(i != c for i, c in want.items()) >= 40
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()} == want
-    monkeypatch.setattr(minhash, "ROUND_PAIRS", 50_000)  # several rounds
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()} == want
+    for block, dense in ((30, 4), (256, 10**9), (50, 0)):  # blocks of texts, single pairs, every unit as a block
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "DENSE", dense)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=1).collect()} == want
+
+
+def test_shared_counts_and_the_filter():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64)) for _ in range(40)]
+    assert (minhash.shared_counts(sets) * (1 - np.eye(40)) == [[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
+    for n, size in ((300, 5), (300, 60), (300, 1000)):
+        for _ in range(n):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+            other = np.concatenate([base[: size - size // 10], rng.integers(0, 1 << 63, size // 10, dtype=np.uint64)])
+            x, y = (minhash.sketch(np.unique(s))[: minhash.BANDS * minhash.ROWS] for s in (base, other))
+            assert (x == y).sum() >= minhash.least_equal(np.array([size]), 80)[0]

@@ -309,12 +309,15 @@ def _finish_buckets(members: DataFrame, low: DataFrame, component: DataFrame, te
     mixed = placed.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n")).where("a <> b")
     mixed = stored(mixed.select(*at, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "unfinished")
     if mixed.isEmpty():
+        drop_stored(placed)
         return component
     side = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
     still = stored(placed.join(small(mixed), at).withColumn("side", side), "unfinished_members")
+    drop_stored(placed)
     units = still.join(low, "rep").select(*at, "rep", "n_shingles", "own", "bytes", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select(*at, "rep", "n_shingles", "own", "bytes", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     found = stored(units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_finder(percent), _OPEN), "open_pairs")
+    drop_stored(still)
     pairs = found.where("y is not null").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = _confirmed(pairs, texts, k, percent)
     dense = found.where("y is null").drop("y").withColumnRenamed("x", "rep")
@@ -322,7 +325,7 @@ def _finish_buckets(members: DataFrame, low: DataFrame, component: DataFrame, te
         block = dense.join(texts.withColumnRenamed("id", "rep"), "rep").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
         links = links.unionByName(block.mapInArrow(_block_verifier(k, percent), "x long, y long"))
     links = stored(links, "links")
-    drop_stored(placed)
+    drop_stored(found)
     if links.isEmpty():
         return component
     return stored(connected_components(component.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(links), "x", "y"), "components")

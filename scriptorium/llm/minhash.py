@@ -173,7 +173,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 #: Members in a block (about) of a bucket that is finished, and pairs a member from which the block's texts are fetched.
-BLOCK, DENSE = 256, 1
+BLOCK, DENSE = 1024, 1
 _UNIT = ("band", "bucket", "lo", "hi")
 
 

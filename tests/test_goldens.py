@@ -10,7 +10,6 @@ GOLDEN = {
     "author_clean": [(1, "JOHN SMITH; SMITH, J. A"), (2, "NGUYỄN VĂN AN; JANE DOE"), (3, ""), (4, "JOHN SMITH; LEE, K")],
     "table_headers_fix": [(1, "Method|84.2", 1), (2, "Model|F1", 1), (3, "Column 1|Column 2", 2), (4, "", 0), (5, "Column 1|Column 2", 2)],
     "entity_accumulate": [(1, "BERT", 0.7), (1, "Residual Net", 0.95), (1, "resnet 50", 0.9), (2, "BERT", 0.6)],
-    "title_similarity": [(1, 1.0, True), (2, 0.0, False), (3, 0.933333, True)],
 }
 
 

@@ -95,7 +95,7 @@ def test_rank_metrics(spark):
 
 def test_scores_are_bounded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert docs.where(~T.ocr_score(F.col("text")).between(0, 1)).count() == 0
+    assert docs.where(~T.ocr_score(T.mojibake_ratio(F.col("text")), T.noisy_ratio(F.col("text"))).between(0, 1)).count() == 0
     lists = spark.createDataFrame([("q", "k", 1, 1), ("q", "k", 2, 1), ("q", "m", 1, 2)], "query_id string, key string, list_no int, rank int")
     assert {r.key: r.score for r in retrieval.rrf(lists).collect()} == {"k": round(2 / 61, 6), "m": round(1 / 62, 6)}
 

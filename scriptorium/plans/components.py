@@ -3,7 +3,7 @@
 Every round is a pair of aggregations with map-side combining and equi-joins,
 so a hub with any number of neighbours is only ever a (splittable) join key.
 Each round's edges are written to the shared folder; nothing is collected but
-whether the edges have settled.
+whether the edges have settled, which the round's first aggregate tells.
 """
 
 from __future__ import annotations
@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 from .scratch import drop_stored, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node's least neighbour or itself, and whether the node keeps its component from being a star around its least node."""
+    found = _both(edges).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("up"), F.count_if(F.col("v") > F.col("u")).alias("down"))
+    loose = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
     # stored, so that the join deals both sides anew and a hub's neighbours can be split over tasks
-    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return stored(found.select("u", F.least("m", "u").alias("m"), loose.alias("loose")), "least")
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _both(edges).where("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +37,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Every node has one parent at most, and no parent has one: all components are stars around their least node."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
-
-
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the least node reachable.
 
@@ -43,12 +46,31 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     typed = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     current = stored(typed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        if _settled(current):
+        least = _least(current)
+        if least.where("loose").isEmpty():  # no node is loose: the edges have settled
+            drop_stored(least)
             break
-        after = stored(_small_star(_large_star(current).distinct()).distinct(), "edges")
+        after = stored(_small_star(_large_star(current, least).distinct()).distinct(), "edges")
+        drop_stored(least)
         drop_stored(current)
         current = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged_components(component: DataFrame, links: DataFrame, src: str, dst: str) -> DataFrame:
+    """``component`` (node, component, as :func:`connected_components` gives it) once ``links`` are added.
+
+    Only the least nodes of the components that a link joins are searched, so a
+    link costs one edge however large its components are.
+    """
+    root = component.select(F.col("node").alias("of"), F.col("component").alias("root"))
+    ends = links.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    for end in ("a", "b"):
+        ends = ends.join(root, ends[end] == root["of"], "left").select(*[F.coalesce("root", c).alias(c) if c == end else F.col(c) for c in ("a", "b")])
+    over = stored(connected_components(ends, "a", "b"), "merged")
+    up = over.select(F.col("node").alias("of"), F.col("component").alias("to"))
+    moved = component.join(up, component["component"] == up["of"], "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(over.join(component.select("node"), "node", "left_anti"))

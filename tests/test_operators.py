@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import structure as S
 from scriptorium.functions import text as T
 from scriptorium.operators import evaluate, graph, jobs, records, relational, retrieval
-from scriptorium.plans.components import connected_components
+from scriptorium.plans.components import connected_components, merged_components
 from scriptorium.sources import files, html
 
 
@@ -63,6 +63,13 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
 
 
+def test_merged_components_are_those_of_all_links(spark):
+    old, new = [(1, 2), (2, 3), (7, 8), (10, 11)], [(3, 8), (20, 11), (30, 31), (31, 0), (5, 5), (2, 1)]
+    component = connected_components(spark.createDataFrame(old, "a long, b long"), "a", "b")
+    got = {r.node: r.component for r in merged_components(component, spark.createDataFrame(new, "a long, b long"), "a", "b").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 10: 10, 11: 10, 20: 10, 30: 0, 31: 0, 0: 0}
+
+
 def test_upserts_do_not_depend_on_order_and_repeat_harmlessly(spark):
     rng = random.Random(2)
     batch = [(rng.randrange(5), rng.random(), f"e{i}") for i in range(40)]

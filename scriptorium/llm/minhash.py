@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.plans.components import connected_components
+from scriptorium.plans.components import connected_components, merged_components
 from scriptorium.plans.scratch import drop_stored, stored
 
 from .columns import small
@@ -165,11 +165,11 @@ def _confirmer(k: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that are links, by the full sets of their texts."""
+    """The pairs (x, y) that are links, by the full sets of their texts; distinct pairs of ids with one text each stay distinct."""
     x = texts.select(F.col("id").alias("x"), F.col("text").alias("text_x"))
     y = texts.select(F.col("id").alias("y"), F.col("text").alias("text_y"))
     both = pairs.select("x", "y").join(y, "y").join(x, "x").select("x", "y", "text_x", "text_y")
-    return both.mapInArrow(_confirmer(k, percent), "x long, y long").distinct()
+    return both.mapInArrow(_confirmer(k, percent), "x long, y long")
 
 
 #: Members in a block (about) of a bucket that is finished, and pairs a member from which the block's texts are fetched.
@@ -328,7 +328,7 @@ def _finish_buckets(members: DataFrame, low: DataFrame, component: DataFrame, te
     drop_stored(found)
     if links.isEmpty():
         return component
-    return stored(connected_components(component.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(links), "x", "y"), "components")
+    return stored(merged_components(component, links, "x", "y"), "components")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -343,11 +343,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key = ["set_a", "set_b", "n_shingles"]
     classes = named.groupBy(*key).agg(F.min(F.struct("id", "bands", "bytes")).alias("one")).select(*key, F.col("one.id").alias("rep"), F.col("one.bands").alias("bands"), F.col("one.bytes").alias("bytes"))
     classes = stored(classes, "classes")
+    whole, sketched = sketched, stored(sketched.select("id", *key), "sets")
+    named = sketched.where("id is not null and n_shingles > 0")
+    drop_stored(whole)
 
     buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    member = F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"))
-    stars = buckets.groupBy("band", "bucket").agg(F.min(member).alias("c"), F.count("*").alias("m")).where("m > 1").select("band", "bucket", "c.centre", "c.n_centre")
+    # a centre by its id under a mask of the band: eight bytes a row give the draw and the id
+    mask = F.xxhash64("band")
+    drawn = F.col("rep").bitwiseXOR(mask)
+    stars = buckets.groupBy("band", "bucket").agg(F.min(drawn).alias("o"), F.min_by("n_shingles", drawn).alias("n_centre"), F.count("*").alias("m")).where("m > 1")
+    stars = stars.select("band", "bucket", F.col("o").bitwiseXOR(mask).alias("centre"), "n_centre")
     members = stored(buckets.join(stars, ["band", "bucket"]), "members")
+    # the bands are not read again
+    whole, classes = classes, stored(classes.drop("bands"), "classes")
+    drop_stored(whole)
     edges = (
         members.where("rep <> centre")
         .where(100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre"))
@@ -387,7 +396,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = stored(_confirmed(rest, texts, shingle_words, percent), "links")
     component = first
     if not more.isEmpty():
-        component = stored(connected_components(links.unionByName(more), "x", "y"), "components")
+        component = stored(merged_components(first, more, "x", "y"), "components")
     component = _finish_buckets(members.select("band", "bucket", "rep", "n_shingles"), classes.select("rep", "bytes"), component, texts, shingle_words, percent)
     drop_stored(members)
     drop_stored(texts)

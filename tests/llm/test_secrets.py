@@ -1,15 +1,18 @@
 """Secret scans against the plain patterns, and learnt formats on made-up credentials."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
 
+import numpy as np
 import pytest
 
-from scriptorium.llm import secrets
-from scriptorium.llm.automata import Background, classes, infer
+from scriptorium.llm import automata, secrets
+from scriptorium.llm.automata import Background, classes, infer, infer_counted
 
 
 def brute(text):
@@ -125,3 +128,65 @@ def test_ties_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, text, "x", 3), (1, text, "x", 3)], "doc_id long, text string, kind string, id int")
     got = secrets.scan(df, secrets.fit(df)).collect()
     assert [r.joined for r in got] == ["assign:0:38,hex:6:38"] * 2
+
+
+def _brute_layers(known):
+    """States (symbol counts, ends) by depth, merged as the automaton's first part does it, from plain lists of suffixes."""
+    width = math.sqrt(0.5 * math.log(2 / 0.1))
+
+    def heads(part):
+        return collections.Counter(s[:1] for s in part)
+
+    def alike(a, b):
+        if not a or not b:
+            return True
+        x, y, most = heads(a), heads(b), width * (1 / math.sqrt(len(a)) + 1 / math.sqrt(len(b)))
+        return all(abs(x[c] / len(a) - y[c] / len(b)) <= most for c in x | y) and all(alike([s[1:] for s in a if s[:1] == c], [s[1:] for s in b if s[:1] == c]) for c in x.keys() & y.keys() if c)
+
+    layer, out = [known], []
+    while layer:
+        out.append(sorted(sorted(heads(part).items()) for part in layer))
+        children = sorted((-len(rest), rank, c, rest) for rank, part in enumerate(layer) for c in heads(part) if c for rest in [[s[1:] for s in part if s[:1] == c]])
+        kept = []
+        for *_, rest in children:
+            like = next((k for k in kept if alike(k, rest)), None)
+            kept.append(rest) if like is None else like.extend(rest)
+        layer = kept
+    return out
+
+
+def test_states_of_equal_depth_by_brute_force():
+    rng = random.Random(2)
+    known = [classes("k" + "".join(rng.choices("0123456789", k=4)) + "Z" * rng.randint(1, 3) if rng.random() < 0.6 else "".join(rng.choices("abcxyz", k=6))) for _ in range(400)]
+    often = collections.Counter(known)
+    strings = automata._Strings(list(often))
+    found = automata._layers(strings, np.array(list(often.values())), 0.1)
+    layer, got = [0], []
+    while layer:
+        got.append(sorted(sorted([*found.seen[s].items(), *([("", found.ends[s])] if found.ends[s] else [])]) for s in layer))
+        layer = sorted({t for s in layer for t in found.next[s].values()})
+    assert got == _brute_layers(known)
+    assert max(map(len, got)) > 1
+    whole = infer_counted(often)
+    assert np.allclose(np.transpose(automata._scores(whole, strings)), [whole.score(t) for t in often])
+
+
+def test_every_credential_and_word_is_learnt_from(spark):
+    """No sample: each distinct credential of any length counts once, and so do the bigrams of all distinct words."""
+    rng = random.Random(9)
+    tokens = ["".join(rng.choices(MIXED, k=12)) for _ in range(1000)] + ["".join(rng.choices(MIXED, k=400))]
+    plain = ["".join(rng.choices("abcdefgh", k=9)) + f"{i:06d}" for i in range(8000)]
+    rows = [(i, f"token={t} {' '.join(plain[8 * i : 8 * i + 8])} token={t} {plain[0]}") for i, t in enumerate(tokens)] + [(None, None)]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    found = model.automata["assign"]
+    assert sum(found.ends) == len(set(tokens))
+    assert (found.shortest, found.longest) == (12, 400)
+    want = Background(plain)
+    assert (model.background.pairs, model.background.firsts) == (want.pairs, want.firsts)
+
+
+def test_words_overlap_no_base_span():
+    text = "plainword token=abcdef0/tail other=x1y2z3 " + "0" * 30 + "-end AKIA" + "B" * 16 + " lastword"
+    spans = secrets.base_spans(text)
+    want = {m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", text) if all(m.end() <= a or m.start() >= b for a, b, *_ in spans)}
+    assert secrets.words(text, spans) == want == {"plainword", "other=x1y2z3", "lastword"}

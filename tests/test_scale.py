@@ -16,3 +16,21 @@ def test_substrings_meet_without_broadcast(spark):
     want = sorted((q, i) for q, a in asked for i, t in names if a is not None and t is not None and (a.lower() in t.lower() or t.lower() in a.lower()))
     assert sorted(map(tuple, df.collect())) == want
     assert "Broadcast" not in plan(df)
+
+
+def test_lookups_by_rare_words_agree_with_all_pairs(spark):
+    import random
+    import re
+
+    draw = random.Random(3)
+    names = [(i, " ".join(draw.choices("a b c d e f g h".split(), k=draw.randint(1, 6)))) for i in range(150)] + [(150, "Zeta-ONE two"), (151, "zeta one TWO three"), (152, ""), (153, None), (154, "-")]
+    df = spark.createDataFrame(names, "id long, name string")
+    sets = {i: {w for w in re.split(r"[^\w]+", (t or "").lower()) if w} for i, t in names}
+    for least, k in ((0.5, 2), (0.6, 3), (0.75, 1), (0.8, 1), (0.0, 2)):
+        want = []
+        for i, a in sets.items():
+            scored = [(-len(a & b) / max(len(a), len(b)), j) for j, b in sets.items() if a & b]
+            want += [(i, j, -s, r) for r, (s, j) in enumerate(sorted(x for x in scored if -x[0] >= least)[:k], 1)]
+        got = M.overlap_lookup(df, df, least, k)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "Broadcast" not in plan(got)

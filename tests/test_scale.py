@@ -34,3 +34,12 @@ def test_lookups_by_rare_words_agree_with_all_pairs(spark):
         got = M.overlap_lookup(df, df, least, k)
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert "Broadcast" not in plan(got)
+
+
+@pytest.mark.parametrize("name", ["best_concept_match"])
+def test_lookups_take_the_whole_table(spark, sf, name):
+    from scriptorium import registry
+
+    found = registry.queries()[name](spark, sf)
+    assert found.where("id % 100 <> 0").count() > 0
+    assert "% 100" not in registry.oracle_sql()[name]

@@ -36,7 +36,7 @@ def test_lookups_by_rare_words_agree_with_all_pairs(spark):
         assert "Broadcast" not in plan(got)
 
 
-@pytest.mark.parametrize("name", ["best_concept_match", "match_concepts", "match_evidences"])
+@pytest.mark.parametrize("name", ["best_concept_match", "match_concepts", "match_evidences", "fulltext_lookup"])
 def test_lookups_take_the_whole_table(spark, sf, name):
     from scriptorium import registry
 

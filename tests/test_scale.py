@@ -43,3 +43,25 @@ def test_lookups_take_the_whole_table(spark, sf, name):
     found = registry.queries()[name](spark, sf)
     assert found.where("id % 100 <> 0").count() > 0
     assert "% 100" not in registry.oracle_sql()[name]
+
+
+def agrees(spark, tmp_path, name, **tables):
+    """A query over tables of the test against its SQL."""
+    import duckdb
+
+    from scriptorium import registry
+
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(registry.oracle_sql()[name])
+    columns = [x[0] for x in want.description]
+    got = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_roundtrip_keeps_every_document(spark, tmp_path):
+    texts = ["plain", "", "   ", None, "a\r\nb\rc d\u0085", 'q"\\ \U0001f600', "\t", "x" * 300_000]
+    rows = [(i, t, la, None if t is None else len(t)) for i, t in enumerate(texts) for la in ("en", 'd"e', "f\nr", "a,b", "z\\", "", None)]
+    agrees(spark, tmp_path, "json_jsonl_csv_text_roundtrip", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long"))

@@ -72,3 +72,15 @@ def test_page_titles_with_cut_references(spark, tmp_path):
     html = '<html lang="en"><head><title>{0}</title></head><body><article><h1>{0}</h1><p>Text.</p></article></body></html>'
     rows = [(i, f"http://x/{i}", html.format(t)) for i, t in enumerate(titles)]
     agrees(spark, tmp_path, "page_documents", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_rouge_of_long_answers_is_linear(spark, tmp_path):
+    import time
+
+    long = [" ".join(f"w{i % m}" for i in range(20_000)) for m in (19_999, 15_000)]
+    turns = [(1, 1, "user", long[0]), (1, 2, "assistant", long[1]), (2, 1, "user", "A b\ta  b\n"), (2, 2, "assistant", " a b b\x0ba"), (2, 3, "user", ""), (2, 4, "assistant", "x"), (3, 1, "user", ""), (3, 2, "assistant", " ")]
+    tables = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    start = time.time()
+    agrees(spark, tmp_path, "rouge_1_2", conversations=tables)
+    agrees(spark, tmp_path, "summary_mode_avg", conversations=tables)
+    assert time.time() - start < 60

@@ -84,3 +84,23 @@ def test_rouge_of_long_answers_is_linear(spark, tmp_path):
     agrees(spark, tmp_path, "rouge_1_2", conversations=tables)
     agrees(spark, tmp_path, "summary_mode_avg", conversations=tables)
     assert time.time() - start < 60
+
+
+def test_period_chunks_without_python(spark):
+    from scriptorium.catalog.records import chunk_at_periods
+
+    def cut(rest, most):
+        out = []
+        while len(rest) > most:
+            at = rest.rfind(".", 0, most)
+            at = at + 1 if at > 0.6 * most else most
+            out.append(rest[:at])
+            rest = rest[at:]
+        return [*out, rest] if rest else out
+
+    texts = ["", "a", "a.b" * 40, "é" * 25 + "." + "ü.\U0001f600" * 20, "." * 50, "x" * 20, "x" * 21, "123456.7890", "1234567.890", "abcdefghi.k", "abcdefghij.k"]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    for most in (10, 20, 7, 1):
+        got = chunk_at_periods(df, most)
+        assert sorted(map(tuple, got.collect())) == [(i, n, p) for i, t in enumerate(texts) for n, p in enumerate(cut(t, most))]
+        assert "Python" not in plan(got)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -71,6 +72,27 @@ def embed(load: Callable[[], Callable[[list[str]], np.ndarray]] = HashEmbedder,
     return run
 
 
+#: Rows that leave a worker at once, with their vectors.
+SLICE = 128
+
+
+def vectors_of(load: Callable[[], Callable[[list[str]], np.ndarray]] = HashEmbedder, batch: int = 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As :func:`embed`, from Arrow batches whose last column is the text to ones with the vector in its place, in slices of SLICE rows, so that a worker holds few vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for rows in batches:
+            for at in range(0, rows.num_rows, SLICE):
+                part = rows.slice(at, SLICE)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                x = np.concatenate([np.asarray(model(texts[i : i + batch]), np.float64) for i in range(0, len(texts), batch)])
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1])), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "embedding"])
+
+    return run
+
+
 class CosineScorer:
     """Scores (query, text) pairs by the cosine of their embeddings; the stand-in for a cross-encoder."""
 
@@ -95,10 +117,13 @@ def pair_score(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]
 
 def search_chunks(docs: DataFrame, queries: DataFrame, *, k: int = 5, size: int = 3500, overlap: int = 400, load: Callable[[], Callable[[list[str]], np.ndarray]] = HashEmbedder) -> DataFrame:
     """(query_id, doc_id, chunk, score, rank): docs (doc_id, text) cut into chunks, embedded, stored, and searched for queries (query_id, text)."""
-    to_vector = embed(load)
+    def embedded(rows: DataFrame) -> DataFrame:
+        kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1])
+        return rows.mapInArrow(vectors_of(load), f"{kinds}, embedding array<double>")
+
     chunks = docs.select("doc_id", F.posexplode(fixed_chunks(F.col("text"), size, overlap)).alias("chunk", "text"))
-    index = stored(chunks.select("doc_id", "chunk", F.monotonically_increasing_id().alias("vec_id"), to_vector(F.col("text")).alias("embedding")), "chunk_index")
-    found = vector_top_k(index, stored(queries.select("query_id", to_vector(F.col("text")).alias("query")), "query_vectors"), k, cosine=True)
+    index = stored(embedded(chunks.select("doc_id", "chunk", F.monotonically_increasing_id().alias("vec_id"), "text")), "chunk_index")
+    found = vector_top_k(index, stored(embedded(queries.select("query_id", "text")).select("query_id", F.col("embedding").alias("query")), "query_vectors"), k, cosine=True)
     return found.join(index.select("vec_id", "doc_id", "chunk"), "vec_id")
 
 

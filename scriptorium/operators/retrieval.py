@@ -194,7 +194,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, cosine: bool
                 lengths = np.diff(batch.column(1).offsets.to_numpy())
                 for dim, (names, q) in by_length.items():
                     at = np.flatnonzero((lengths == dim) & np.asarray(batch.column(1).is_valid()))
-                    step = max(1, _BLOCK_CELLS // max(1, q.shape[1]))
+                    step = max(1, _BLOCK_CELLS // 4 // max(1, sum(q.shape)))
                     for i in range(0, len(at), step):
                         some = pa.array(at[i : i + step])
                         x = batch.column(1).take(some).flatten().to_numpy().astype(np.float64).reshape(len(some), dim)

@@ -104,3 +104,23 @@ def test_period_chunks_without_python(spark):
         got = chunk_at_periods(df, most)
         assert sorted(map(tuple, got.collect())) == [(i, n, p) for i, t in enumerate(texts) for n, p in enumerate(cut(t, most))]
         assert "Python" not in plan(got)
+
+
+def test_vectors_leave_a_worker_in_slices(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from scriptorium.operators import models
+
+    asked = []
+
+    def load():
+        model = models.HashEmbedder(8)
+        return lambda texts: (asked.append(len(texts)), model(texts))[1]
+
+    texts = [f"w{i} w{i % 7}" for i in range(1000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    out = list(models.vectors_of(load, 16)(iter([batch])))
+    assert max(b.num_rows for b in out) <= models.SLICE and max(asked) <= 16
+    got = np.array([v for b in out for v in b.column(1).to_pylist()])
+    assert np.allclose(got, models.HashEmbedder(8)(texts)) and [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))

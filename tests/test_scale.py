@@ -124,3 +124,34 @@ def test_vectors_leave_a_worker_in_slices(spark):
     assert max(b.num_rows for b in out) <= models.SLICE and max(asked) <= 16
     got = np.array([v for b in out for v in b.column(1).to_pylist()])
     assert np.allclose(got, models.HashEmbedder(8)(texts)) and [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+
+
+def graph_of(spark):
+    import random
+
+    draw = random.Random(5)
+    edges = {(p, t): draw.randint(1, 9) / 10 for p in range(60) for t in draw.sample(range(12), 3)}
+    df = spark.createDataFrame([(p, t, c, 1.0 + t % 3) for (p, t), c in edges.items()], "paper long, target long, confidence double, w double")
+    sources = spark.range(0, 60, 7).withColumnRenamed("id", "src")
+    others = spark.range(0, 60).where("id % 3 <> 0").withColumnRenamed("id", "other")
+    return edges, df, sources, others
+
+
+def test_shared_targets_move_no_pair_alone(spark, monkeypatch):
+    import re
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.operators import graph as G
+
+    monkeypatch.setattr(G, "POSTINGS", 4)
+    edges, df, sources, others = graph_of(spark)
+    got = G.co_occurrence(df, sources, (F.col("confidence") + F.col("a_confidence")) * F.col("a_w"), others=others, shared=["w"])
+    want = defaultdict(float)
+    for (p, t), c in edges.items():
+        for (q, u), d in edges.items():
+            if t == u and p % 7 == 0 and p != q and q % 3:
+                want[p, q] += (c + d) * (1.0 + t % 3)
+    assert {(r.src, r.other): r.raw for r in got.collect()} == pytest.approx(dict(want))
+    assert not re.search(r"hashpartitioning\(src#\d+L?, other#", plan(got))

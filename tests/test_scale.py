@@ -155,3 +155,22 @@ def test_shared_targets_move_no_pair_alone(spark, monkeypatch):
                 want[p, q] += (c + d) * (1.0 + t % 3)
     assert {(r.src, r.other): r.raw for r in got.collect()} == pytest.approx(dict(want))
     assert not re.search(r"hashpartitioning\(src#\d+L?, other#", plan(got))
+
+
+def test_hierarchy_moves_no_pair_alone(spark, monkeypatch):
+    import re
+    from collections import defaultdict
+
+    from scriptorium.operators import graph as G
+
+    monkeypatch.setattr(G, "POSTINGS", 4)
+    edges, df, sources, others = graph_of(spark)
+    tree = spark.range(2, 12).selectExpr("id AS src", "id div 2 AS dst")
+    got = G.hierarchy_signal(df.select("paper", "target"), tree, sources, 2, others=others)
+    up = {(t, t // 2, 1) for t in range(2, 12)} | {(t, t // 2 // 2, 2) for t in range(4, 12)}
+    hit = {(p, q, hop, way) for p, t in edges if p % 7 == 0 for a, b, hop in up for way, (x, y) in enumerate(((a, b), (b, a))) if x == t for q, u in edges if u == y and q != p and q % 3}
+    want = defaultdict(float)
+    for p, q, hop, _ in hit:
+        want[p, q] += 1 / (hop + 1)
+    assert {(r.src, r.other): r.raw for r in got.collect()} == pytest.approx(dict(want))
+    assert not re.search(r"hashpartitioning\(src#\d+L?, other#", plan(got))

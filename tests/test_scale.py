@@ -174,3 +174,20 @@ def test_hierarchy_moves_no_pair_alone(spark, monkeypatch):
         want[p, q] += 1 / (hop + 1)
     assert {(r.src, r.other): r.raw for r in got.collect()} == pytest.approx(dict(want))
     assert not re.search(r"hashpartitioning\(src#\d+L?, other#", plan(got))
+
+
+def test_recommendation_deals_pairs_once(spark, sf):
+    import re
+
+    from scriptorium import registry
+    from scriptorium.catalog.graph import _signals
+    from scriptorium.operators import graph as G
+
+    assert "hashpartitioning(src" in plan(_signals(spark, sf))
+    for name in ("recommend_topk", "batch_recommend"):
+        found = plan(registry.queries()[name](spark, sf)).partition("== Physical Plan ==")[2]
+        last = found[: found.index("Union")]
+        assert not re.search(r"Exchange hashpartitioning\(src#\d+L?, (other|signal)#", last)
+    rows = [(1, 2, "x", 4.0), (1, 3, "x", 2.0), (1, 3, "y", 5.0), (1, 1, "x", 9.0), (2, 5, "y", 0.0), (2, 6, "z", 1.0)]
+    got = G.recommend(spark.createDataFrame(rows, "src long, other long, signal string, raw double"), {"x": 0.6, "y": 0.4}, 5)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 0.266667, 2), (1, 3, 0.533333, 1)]

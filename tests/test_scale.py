@@ -191,3 +191,17 @@ def test_recommendation_deals_pairs_once(spark, sf):
     rows = [(1, 2, "x", 4.0), (1, 3, "x", 2.0), (1, 3, "y", 5.0), (1, 1, "x", 9.0), (2, 5, "y", 0.0), (2, 6, "z", 1.0)]
     got = G.recommend(spark.createDataFrame(rows, "src long, other long, signal string, raw double"), {"x": 0.6, "y": 0.4}, 5)
     assert sorted(map(tuple, got.collect())) == [(1, 2, 0.266667, 2), (1, 3, 0.533333, 1)]
+
+
+def test_titles_are_scored_by_distinct_texts(spark):
+    import difflib
+    import re
+
+    base = ["deep nets for graphs", "Deep nets for graph", "cats and dogs", "cats and dog", "", None]
+    titles = [(i * 10 + j, t) for i, t in enumerate(base) for j in range(4)]
+    df = spark.createDataFrame(titles, "id long, title string")
+    got = M.similar_titles(df.where("id % 2 = 0"), df)
+    ratio = {(i, j): difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for i, a in titles for j, b in titles if i != j and i % 2 == 0 and a and b}
+    rows = got.collect()
+    assert {(r.id, r.match): r.ratio for r in rows} == pytest.approx({k: v for k, v in ratio.items() if v >= 0.8}) and len(rows) == len(set(rows))
+    assert re.search(r"MapInPandas score\(x#\d+, y#\d+\)", plan(got)) and "BroadcastHashJoin" not in plan(got)

@@ -193,6 +193,22 @@ def test_recommendation_deals_pairs_once(spark, sf):
     assert sorted(map(tuple, got.collect())) == [(1, 2, 0.266667, 2), (1, 3, 0.533333, 1)]
 
 
+def test_assertions_sort_no_edge(spark):
+    import re
+
+    from scriptorium.operators import graph as G
+
+    nodes = spark.createDataFrame([("a", "Paper", False), ("a", "Concept", False), ("b", "Paper", False), ("c", "Paper", True), ("d", "Odd", False), (None, "Paper", False), ("e", "Paper", False)], "id string, kind string, stub boolean")
+    edges = spark.createDataFrame([("a", "b", "CITES"), ("a", "x", "CITES"), ("x", "y", "CITES"), ("y", "a", "ODD"), (None, "a", "CITES"), ("e", None, "USES_CONCEPT"), ("x", "y", "CITES"), ("z", None, "CITES")], "src string, dst string, kind string")
+    calls = spark.createDataFrame([("extract", True)], "phase string, success boolean")
+    got = G.assertions(nodes, edges, edges, edges, nodes, calls)
+    values = {r.assertion: r.value for r in got.collect()}
+    assert values["nodes"] == 7 and values["edges"] == 8 and values["node_types"] == 1 and values["edge_types"] == 1 and values["type_conflicts"] == 1
+    assert values["isolated"] == pytest.approx(3 / 7, abs=1e-6) and values["degree"] == pytest.approx((4 + 4 + 1 + 1) / 7, abs=1e-6)
+    assert values["consistency"] == pytest.approx(1 / 8) and values["papers_without_edges"] == 2
+    assert len(re.findall("Join LeftSemi", plan(got).partition("== Optimized Logical Plan ==")[2].partition("== Physical Plan ==")[0])) == 2  # the unknown ends alone
+
+
 def test_titles_are_scored_by_distinct_texts(spark):
     import difflib
     import re
